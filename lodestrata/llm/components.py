@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every step links nodes to the smallest node they know, found by a partial aggregate and joined back, so
     a node with very many neighbours is combined before the shuffle and its side of the join can be split;
-    no neighbourhood is gathered in a task or on the driver. The number of steps grows with the logarithm
+    no neighbourhood is gathered in a task or on the driver.
+    Joins are merge joins by hint: estimates from compressed files must not turn a growing side into a broadcast. The number of steps grows with the logarithm
     of the size of the components. Each step is written to the shared folder. Null ends and loops are
     dropped; repeated and reversed edges count once; no edges give no rows."""
     now = keep(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
@@ -25,9 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+        small = large.join(low.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         now = keep(small, "stars")
         before, seen = seen, _size(now)
         if before == seen:

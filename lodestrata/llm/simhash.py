@@ -95,11 +95,11 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(v).cast("byte").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(MASKS)])
     tables = fps.select("fp", F.inline(keys))
     met = tables.groupBy("v", "key").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).where("one <> other").select("v", "key")
-    company = keep(tables.join(met, ["v", "key"], "left_semi").select("fp").distinct(), "company")
+    company = keep(tables.join(met.hint("merge"), ["v", "key"], "left_semi").select("fp").distinct(), "company")
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(64)])
     middles = company.select("fp", F.explode(near).alias("middle"))
     least = middles.groupBy("middle").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).where("one <> other")
-    edges = middles.join(least.select("middle", "one"), "middle").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    edges = middles.join(least.select("middle", "one").hint("merge"), "middle").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 
@@ -113,10 +113,10 @@ def _classes(of: DataFrame) -> DataFrame:
     """The rows of fingerprints(), with component_id."""
     distinct = keep(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = link_fingerprints(distinct.select("fp"))
-    named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = keep(named.join(low, "root").select("fp", "component_id"), "classes")
-    return of.join(classes, "fp")
+    classes = keep(named.join(low.hint("merge"), "root").select("fp", "component_id"), "classes")
+    return of.join(classes.hint("merge"), "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -126,6 +126,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = _classes(keep(fingerprints(docs, tag), "fingerprints"))
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_own"), tag.alias("_hash"))
-    met = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")))
+    met = rows.join(stays.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")))
     once = Window.partitionBy("_own", "_hash").orderBy("_tag")
     return met.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("row.*")
