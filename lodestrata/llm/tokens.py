@@ -62,15 +62,27 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Memorise pieces. Runs of letters are encoded many at a time, as one text in which each is one word."""
+        join, first = (" ", "") if self.lower else ("", " ")
+        runs = [p for p in new if p[len(first) :].isalpha() and p.startswith(first)]
+        for at in range(0, len(runs), 256):
+            part = runs[at : at + 256]
+            one = self.tokenizer.encode(join.join(part), add_special_tokens=False)
+            ids, ends = np.array(one.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(one.word_ids), np.arange(len(part) + 1)).tolist()
+            if one.word_ids[-1] == len(part) - 1 and all(map(int.__lt__, ends, ends[1:])):
+                self.memo.update((p, ids[4 * lo : 4 * hi]) for p, lo, hi in zip(part, ends, ends[1:], strict=False))
+        rest = [p for p in new if p not in self.memo]
+        for at in range(0, len(rest), 4096):
+            self.memo.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        new = list({p for c in cut if c is not None for p in c if p not in memo})
-        for at in range(0, len(new), 4096):
-            memo.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
-        return [self._ids([t])[0] if c is None else b"".join(map(memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        self._learn(list(set().union(*[c for c in cut if c is not None]).difference(self.memo)))
+        return [self._ids([t])[0] if c is None else b"".join(map(self.memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+
 
 
 def encoder(path: str) -> Encoder:
