@@ -127,14 +127,15 @@ def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataF
     return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", "place")
 
 
-def mixed_rows(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The mix itself: the rows of docs, with all their columns, once for each time taken, and shard and at (the
-    sort key of the shuffle within a shard). Rows alike in doc_id, source and text share one decision."""
+def mixed(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix itself: row (a struct of all columns of docs) once for each time taken, shard and at (the sort key
+    of the shuffle within a shard). Rows alike in doc_id, source and text share one decision."""
     turns = mix(docs, seed, shard_words).groupBy("place").agg(F.max("shards").alias("shards")).where("size(shards) > 0")
     rows = docs.select(F.struct("*").alias("row"), _key(seed).alias("place"))
-    return rows.join(turns, "place").select("row.*", "place", F.posexplode("shards").alias("turn", "shard")).withColumn("at", F.xxhash64(F.lit(seed + 3), "place", "turn")).drop("place", "turn")
+    taken = rows.join(turns.hint("merge"), "place").select("row", "place", F.posexplode("shards").alias("turn", "shard"))
+    return taken.select("row", "shard", F.xxhash64(F.lit(seed + 3), "place", "turn").alias("at"))
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """mixed_rows() in order: shard by shard, and shuffled within each."""
-    return mixed.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
+def shuffled(mixed_rows: DataFrame) -> DataFrame:
+    """mixed() in order: shard by shard, and shuffled within each."""
+    return mixed_rows.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")

@@ -219,7 +219,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs, _ = plan_packing(histogram, capacity)
     ordered = np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
-    numbered = pieces.join(counts.select("task", "length", "base"), ["task", "length"]).withColumn("number", F.col("number") + F.col("base")).drop("base")
+    numbered = pieces.join(counts.select("task", "length", "base").hint("merge"), ["task", "length"]).withColumn("number", F.col("number") + F.col("base")).drop("base")
     kept = [f for f in pieces.schema.fields if f.name not in ("task", "number")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
     return numbered.select(*[f.name for f in kept], "number").mapInArrow(_place(ordered), schema)

@@ -68,6 +68,7 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         F.array_join(four, "_"), F.array_join(four, "-"), F.upper(F.array_join(four, "_")), F.array_join(four, "/"), F.array_join(four, ""),
         F.concat(word(0), *[F.initcap(word(k)) for k in range(1, 4)]), F.concat(*[F.initcap(word(k)) for k in range(4)]),
         F.concat_ws("_", word(0), word(1), F.pmod(i, F.lit(100)).cast("string")), F.concat_ws("-", word(0), F.lit("20") , word(2), F.lpad(F.pmod(i, F.lit(31)).cast("string"), 2, "0")),
+        F.repeat(F.substring(F.lit(ALPHABET), F.pmod(F.xxhash64(i), F.lit(_SIZE)).cast("int") + 1, F.lit(1)), F.lit(24)),  # a line of one character
     ]
     pick = lambda xs: F.element_at(F.array(*xs), F.pmod(i, F.lit(len(xs))).cast("int") + 1)
     ids = spark.range(n)

@@ -110,12 +110,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(of: DataFrame) -> DataFrame:
-    """The rows of fingerprints(), with component_id."""
+    """The rows of fingerprints(), with root (a fingerprint that names the component) and component_id."""
     distinct = keep(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = link_fingerprints(distinct.select("fp"))
     named = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = keep(named.join(low.hint("merge"), "root").select("fp", "component_id"), "classes")
+    classes = keep(named.join(low.hint("merge"), "root").select("fp", "root", "component_id"), "classes")
     return of.join(classes.hint("merge"), "fp")
 
 
@@ -124,7 +124,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     that share it the one of the smallest hash; a row that stands several times stays once."""
     tag = F.xxhash64(*docs.columns)
     found = _classes(keep(fingerprints(docs, tag), "fingerprints"))
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag"))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tag").alias("_tag"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_own"), tag.alias("_hash"))
     met = rows.join(stays.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tag")))
     once = Window.partitionBy("_own", "_hash").orderBy("_tag")
