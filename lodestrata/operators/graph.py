@@ -185,7 +185,8 @@ def node_metrics(edges: DataFrame) -> DataFrame:
 
 
 def removal_impact(edges: DataFrame, nodes: DataFrame, sources: list | None = None) -> DataFrame:
-    """node, delta_conn_pairs, delta_eff, delta_aspl, articulation: what the removal of each node costs; one row a task slot."""
+    """node, delta_conn_pairs, delta_eff, delta_aspl, articulation: what the removal of each node costs (delta_aspl is null where
+    no path is left); nodes are spread over tasks."""
     rows = collected(edges)
     kind = edges.schema["src"].dataType.simpleString()
 

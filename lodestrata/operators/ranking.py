@@ -37,8 +37,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation of each group over rows where both are numbers; null where one is constant."""
     sound = df.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})")
     ranks = sound.select(*by, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
-    varied = (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0)
-    return ranks.groupBy(*by).agg(F.when(varied, F.corr("_x", "_y")).alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return ranks.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 
 def overlap(df: DataFrame, x: str, y: str, tie: str, by: list[str], k: int) -> DataFrame:
