@@ -26,10 +26,14 @@ def family_rollup(t):
 @query("ml17_joi16_grid", f"""with f as ({_FAM}), g as (select a.i as a, b.i as b from range(32) a(i), range(32) b(i)), s as (select a, b, value, cost, row_number() over (partition by a, b order by a * p * 100 + b * members desc, family) as r from f, g)
 select a, b, count(*) as n, round(sum(value - cost), 2) as profit from s where r <= 20 group by 1, 2""")
 def grid(t):
-    """The grid has 1,024 rows whatever the data: it is broadcast to the families, and ranks keep 20 of each."""
+    """Best 20 families for each of 1,024 weightings. Weights are not negative, so among families of equal size only the
+    20 first by p, or by key where p has no weight, can be among the best: the rest goes before the grid is joined.
+    The grid has 1,024 rows whatever the data, and is broadcast."""
     spark = t("nation").sparkSession
+    same = Window.partitionBy("members")
+    able = families(t).withColumn("x", F.row_number().over(same.orderBy(F.desc("p"), "family"))).withColumn("y", F.row_number().over(same.orderBy("family"))).where("x <= 20 or y <= 20")
     g = F.broadcast(spark.range(1024).select((F.col("id") % 32).alias("a"), F.floor(F.col("id") / 32).alias("b")))
-    s = families(t).crossJoin(g).withColumn("score", F.col("a") * F.col("p") * 100 + F.col("b") * F.col("members"))
+    s = able.crossJoin(g).withColumn("score", F.col("a") * F.col("p") * 100 + F.col("b") * F.col("members"))
     best = R.top_k(s, ["a", "b"], [F.desc("score"), F.col("family")], 20)
     return best.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") - F.col("cost")), 2).alias("profit"))
 
