@@ -90,10 +90,10 @@ def alpha(t):
 
 @query("ml1_ml2_spearman", """with g as (select s_nationkey, l_suppkey, sum(l_quantity) as q, sum(l_extendedprice) as e from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2),
 r as (select s_nationkey, rank() over (partition by s_nationkey order by q) + (count(*) over (partition by s_nationkey, q) - 1) / 2 as a, rank() over (partition by s_nationkey order by e) + (count(*) over (partition by s_nationkey, e) - 1) / 2 as b from g)
-select s_nationkey, case when count(*) > 1 then round(corr(a, b), 6) end as rho, count(*) as n from r group by 1""")
+select s_nationkey, case when count(*) > 1 then round(corr(a, b), 6) + 0.0::double end as rho, count(*) as n from r group by 1""")
 def spearman(t):
     g = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_nationkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("e"))
-    return R.spearman(g, "q", "e", ["s_nationkey"]).withColumn("rho", F.round("rho", 6))
+    return R.spearman(g, "q", "e", ["s_nationkey"]).withColumn("rho", F.round("rho", 6) + F.lit(0.0))
 
 
 @query("prj13_min_max", "select p_partkey, round((p_size - min(p_size) over (partition by p_brand)) / (max(p_size) over (partition by p_brand) - min(p_size) over (partition by p_brand))::double, 6) as p_size from part qualify max(p_size) over (partition by p_brand) > min(p_size) over (partition by p_brand)")

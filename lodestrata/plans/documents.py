@@ -160,7 +160,7 @@ def sha(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query("fn26_coherence", """select page_id, round(0.2 * contains(lower(html), 'objective')::int + 0.3 * contains(lower(html), 'achieve')::int + 0.2 * contains(lower(html), 'data quality')::int + 0.1 * contains(lower(html), '|')::int + 0.2, 6) as score from pages where not contains(lower(html), 'not confirmed')""")
+@query("fn26_coherence", """select page_id, round(0.2 * contains(lower(html), 'objective')::int + 0.3 * contains(lower(html), 'achieve')::int + 0.2 * contains(lower(html), 'data quality')::int + 0.1 * contains(lower(html), '|')::int + 0.2, 6)::double as score from pages where not contains(lower(html), 'not confirmed')""")
 def coherent(t):
     return t("pages").where(~F.lower("html").contains("not confirmed")).select("page_id", F.round(T.coherence(F.col("html")), 6).alias("score"))
 
