@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, root: for each node of an edge the smallest node of its component.
 
     Every step links nodes to the smallest node they know, found by a partial aggregate and joined back, so
-    a node with very many neighbours is combined before the shuffle and its side of the join can be split;
+    a node with very many neighbours is combined before the shuffle, and as the other side is written first, the join
+    reads two plain shuffles and Spark splits the partition of such a node;
     no neighbourhood is gathered in a task or on the driver.
     Joins are merge joins by hint: estimates from compressed files must not turn a growing side into a broadcast. The number of steps grows with the logarithm
     of the size of the components. Each step is written to the shared folder. Null ends and loops are
@@ -25,9 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _size(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = keep(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
+        large = keep(both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large")
+        low = keep(large.groupBy("a").agg(F.min("b").alias("low")), "low")
         small = large.join(low.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         now = keep(small, "stars")
         before, seen = seen, _size(now)

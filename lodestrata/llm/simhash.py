@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
-from lodestrata.llm.shared import keep, small_batches
+from lodestrata.llm.shared import keep, small_batches, tidy
 
 SHINGLE = 3
 SEED = 42
@@ -87,14 +87,14 @@ def fingerprints(docs: DataFrame, tag: Column | None = None) -> DataFrame:
     """doc_id, tag (a long that is carried along), fp (the 64 bits as a signed long) of each row of docs."""
     small_batches(docs.sparkSession)
     tag = F.lit(0) if tag is None else tag
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), "text").mapInArrow(_fingerprint, "doc_id long, tag long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), "text").mapInArrow(tidy(_fingerprint), "doc_id long, tag long, fp long")
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Distinct fp -> fp, root: the same root for all that chains of steps of at most two bits connect."""
     keys = F.array(*[F.struct(F.lit(v).cast("byte").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(MASKS)])
     tables = fps.select("fp", F.inline(keys))
-    met = tables.groupBy("v", "key").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).where("one <> other").select("v", "key")
+    met = keep(tables.groupBy("v", "key").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).where("one <> other").select("v", "key"), "met")  # written, so that the join can split a large bucket
     company = keep(tables.join(met.hint("merge"), ["v", "key"], "left_semi").select("fp").distinct(), "company")
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(64)])
     middles = company.select("fp", F.explode(near).alias("middle"))
@@ -114,7 +114,7 @@ def _classes(of: DataFrame) -> DataFrame:
     distinct = keep(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = link_fingerprints(distinct.select("fp"))
     named = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    low = keep(named.groupBy("root").agg(F.min("first").alias("component_id")), "low")
     classes = keep(named.join(low.hint("merge"), "root").select("fp", "root", "component_id"), "classes")
     return of.join(classes.hint("merge"), "fp")
 
