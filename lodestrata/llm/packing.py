@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import keep, small_batches
+from lodestrata.llm.shared import keep, small_batches, tidy
 from lodestrata.llm.tokens import encoder, in_slices
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
@@ -67,7 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int =
     It is written to the shared folder at once, as the numbers belong to the tasks that made them."""
     small_batches(docs.sparkSession)
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), schema), "pieces")
+    return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_cut(tokenizer, end_id, capacity, with_ids)), schema), "pieces")
 
 
 class _Plan:

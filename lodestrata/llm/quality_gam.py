@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import SPACE, small_batches, text_or_empty, words_of
+from lodestrata.llm.shared import SPACE, small_batches, text_or_empty, tidy, words_of
 
 SAMPLE = 20_000
 BINS = 48
@@ -192,4 +192,4 @@ def keep_good(docs: DataFrame, model: Gam) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = features(docs.select(F.struct("*").alias("row"), "text"), "row")
-    return rows.mapInArrow(good, rows.select("row").schema).select("row.*")
+    return rows.mapInArrow(tidy(good), rows.select("row").schema).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import file_system, local_path, small_batches
+from lodestrata.llm.shared import file_system, local_path, small_batches, tidy
 from lodestrata.llm.tokens import encoder, in_slices
 
 _PART = "pid int, name string, n_docs long, n_tokens long"
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     fs.create_dir(root, recursive=True)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").select("doc_id", "text")
-    parts = sorted(ordered.mapInArrow(_writer(folder, tokenizer, end_id, dtype), _PART).collect())
+    parts = sorted(ordered.mapInArrow(tidy(_writer(folder, tokenizer, end_id, dtype)), _PART).collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts], dtype=np.int64)]).tolist()
     rows = [(p.name, base) for p, base in zip(parts, bases, strict=False)]
     if rows:

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 700_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _THEN = r"(?=[\x00-@\[-`{-\x7f]|\Z)"
