@@ -11,7 +11,8 @@ a shard, rows are shuffled by a seeded hash.
 
 Scale: documents are reduced to their word counts in one pass without shuffling texts. A source has at most
 BLOCKS blocks, so the windows that order them are bounded, and no window runs over the documents of a source
-but for those of its last block. The driver holds one row for each source, and sources x shards counts.
+but for those of its last block. The driver holds one row for each source, and sources x shards counts; the
+rows are broadcast behind a check of their number, and beyond it joined with salt.
 
 Edge cases: a null text has no words; a null source is a source of its own, the last; empty tables give no
 rows; documents without words are taken zero words; rows that share a doc_id are mixed each on its own; a
@@ -36,6 +37,9 @@ MOST = 2.0
 BLOCKS = 1 << 14
 BLOCK_DOCS = 16
 SHARD_WORDS = 50_000_000
+#: Up to so many sources their rows (about 100 bytes each) are broadcast; more are joined by merge, with salt.
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -88,6 +92,16 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.xxhash64("text"))
 
 
+def _with_plan(sized: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
+    """sized with the plan's row of its source. Documents of a source that holds many are never dealt to one task."""
+    if sources <= BROADCAST_SOURCES:
+        return sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.source)).drop(plan.source)
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = sized.withColumn("_salt", F.pmod("place", F.lit(SALTS)).cast("int"))
+    met = sized.join(plan.hint("merge"), (sized._salt == plan._salt) & sized.source.eqNullSafe(plan.source))
+    return met.drop(plan.source, plan._salt, sized._salt)
+
+
 def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (the output shard of each time that the document is
     taken) and place (its key in the shuffle of a shard), one row for each row of docs (doc_id, source, text)."""
@@ -100,7 +114,7 @@ def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataF
     goal = targets([r.words for r in rows])
     per = [(i, r.source, r.words, t, min(BLOCKS, -(-r.n // BLOCK_DOCS)), int(t // r.words) if r.words else 0) for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
     plan = spark.createDataFrame(per, "source_no int, source string, source_size long, target double, blocks int, times int")
-    placed = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int"))
+    placed = _with_plan(sized, plan, len(per)).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int"))
     block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("times").alias("times"))
     order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 2), "source_no", "block"), "block")
     so_far = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))

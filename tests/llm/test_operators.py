@@ -286,7 +286,7 @@ def test_plans_are_whole_and_tight():
         assert n <= len(ffd)
 
 
-def test_mixing(spark, docs, empty):
+def test_mixing(spark, docs, empty, monkeypatch):
     rows = mixing.mix(docs, shard_words=2000).collect()
     again = mixing.mix(docs.repartition(7), shard_words=2000).collect()
     key = lambda rs: Counter((r.doc_id, r.size, r.source_size, r.target, r.taken, tuple(r.shards)) for r in rs)
@@ -305,6 +305,8 @@ def test_mixing(spark, docs, empty):
         taken[source[r.doc_id]] += r.taken
     for s in order:
         assert abs(taken[s] - goal[s]) <= max([r.size for r in rows if source[r.doc_id] == s]) / 2 + 1
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # the other way to join the sources
+    assert sorted(map(repr, mixing.mix(docs, shard_words=2000).collect())) == sorted(map(repr, rows))
     assert mixing.mix(empty).count() == 0
     whole = mixing.mixed(docs, shard_words=2000)
     assert whole.count() == sum(len(r.shards) for r in rows) and whole.select("row.*").columns == docs.columns
