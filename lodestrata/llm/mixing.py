@@ -10,7 +10,7 @@ quotas sum exactly. Each shard takes the next blocks of each source's permuted l
 a shard, rows are shuffled by a seeded hash.
 
 Scale: documents are reduced to their word counts in one pass without shuffling texts. A source has at most
-BLOCKS blocks, so the windows that order them are bounded, and no window runs over the documents of a source
+BLOCKS blocks, ordered stretch by stretch with prefix sums over the stretches, and no window runs over the documents of a source
 but for those of its last block. The driver holds one row for each source, and sources x shards counts; the
 rows are broadcast behind a check of their number, and beyond it joined with salt.
 
@@ -116,10 +116,16 @@ def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataF
     plan = spark.createDataFrame(per, "source_no int, source string, source_size long, target double, blocks int, times int")
     placed = _with_plan(sized, plan, len(per)).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int"))
     block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("times").alias("times"))
-    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 2), "source_no", "block"), "block")
-    so_far = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = F.xxhash64(F.lit(seed + 2), "source_no", "block")
+    block = keep(block.withColumn("order", order).withColumn("stretch", F.shiftright("order", 58).cast("int")), "block-words")  # 64 stretches of the order
+    earlier = Window.partitionBy("source_no").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = block.groupBy("source_no", "stretch").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    base = base.select("source_no", "stretch", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("blocks_before"))
+    within = Window.partitionBy("source_no", "stretch").orderBy("order", "block")
+    so_far = F.col("words_before") + F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    block = block.join(base.hint("merge"), ["source_no", "stretch"]).withColumn("so_far", so_far).withColumn("rank", F.col("blocks_before") + F.row_number().over(within) - 1)
     extra = F.col("target") - F.col("times") * F.col("source_size")
-    block = keep(block.withColumn("rank", F.row_number().over(order) - 1).withColumn("room", extra - (so_far - F.col("words"))).select("source_no", "block", "rank", "times", "words", "room"), "blocks")
+    block = keep(block.withColumn("room", extra - (F.col("so_far") - F.col("words"))).select("source_no", "block", "rank", "times", "words", "room"), "blocks")
     # room: words that the block may still give beyond the whole times; part of it where it is less than the block has
     given = block.select("source_no", "rank", "times", (F.col("room") > 0).cast("int").alias("more"))
     totals = {r.source_no: r for r in given.groupBy("source_no").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum("more").alias("more")).collect()}
