@@ -77,12 +77,19 @@ class Encoder:
             self.memo.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        self._learn(list(set().union(*[c for c in cut if c is not None]).difference(self.memo)))
-        return [self._ids([t])[0] if c is None else b"".join(map(self.memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-
+        known, out, late = self.memo.__getitem__, [b""] * len(texts), {}
+        for i, text in enumerate(texts):
+            pieces = self._pieces(text)
+            try:
+                out[i] = self._ids([text])[0] if pieces is None else b"".join(map(known, pieces))
+            except KeyError:  # a piece is new
+                late[i] = pieces
+        self._learn(list(set().union(*late.values()).difference(self.memo)))
+        for i, pieces in late.items():
+            out[i] = b"".join(map(known, pieces))
+        return out
 
 
 def encoder(path: str) -> Encoder:
