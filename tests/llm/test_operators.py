@@ -396,6 +396,27 @@ def test_shared_passages(spark, docs, empty):
     assert substring.shared_passages(empty).count() == 0 and substring.shared_passages(docs).count() >= 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.19])
+def test_fuzzy_passages_are_found(spark, share):
+    rng = np.random.default_rng(7)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows = []
+    for i in range(100):
+        passage = text(60 + 5 * (i % 5))
+        copy = list(passage)
+        for k in rng.choice(np.arange(2, len(copy) - 2), int(share * len(copy)), replace=False):
+            copy[k] = f"x{k}"
+        rows += [(i, " ".join(text(40) + passage + text(40))), (1000 + i, " ".join(text(40) + copy + text(40)))]
+    got = substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id == 1000 + r.first_doc_id for r in got)
+    assert len({r.doc_id for r in got}) >= 95
+
+
+def test_ends_extend_over_words_left_out():
+    a = np.arange(40)
+    assert substring._extend(a, np.delete(a, 10)) == (40, 39, 39) and substring._extend(a, a + 100) == (0, 0, 0)
+
+
 def test_chains_and_alignment():
     xs, ys = np.array([0, 5, 9, 12, 20]), np.array([3, 8, 100, 15, 23])
     best = substring.best_chains(xs, ys)[0]
