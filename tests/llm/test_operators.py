@@ -396,6 +396,32 @@ def test_shared_passages(spark, docs, empty):
     assert substring.shared_passages(empty).count() == 0 and substring.shared_passages(docs).count() >= 0
 
 
+def test_shared_passages_of_common_lines(spark):
+    """Every exact stretch of 50 words of an earlier document lies in a passage, whoever held its parts before."""
+    rng = np.random.default_rng(8)
+    lines = [[f"w{x}" for x in rng.integers(0, 10**9, int(n))] for n in rng.integers(15, 45, 24)]
+    docs = {i: [f"a{i}", *x, f"b{i}"] for i, x in enumerate(lines)}
+    whole = [w for x in lines for w in x]
+    for i in range(0, len(whole) - 45, 8):  # pieces that overlap: all 5-grams and lines of the passages below stand earlier
+        docs[len(docs)] = [f"c{i}", *whole[i : i + 45], f"d{i}"]
+    for i in range(30):
+        n, at = int(rng.integers(50, 90)), int(rng.integers(0, 100))
+        docs[1000 + i] = [f"e{i}", *whole[at : at + n], *[f"r{x}" for x in rng.integers(0, 10**9, 20)], *[w for k in rng.permutation(6)[:3] for w in lines[k]]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    covered = {}
+    for r in substring.shared_passages(df).collect():
+        covered.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    seen, n = set(), 0
+    for i in sorted(docs):
+        grams = [tuple(docs[i][k : k + 50]) for k in range(len(docs[i]) - 49)]
+        words = {w for lo, hi in covered.get(i, []) for w in range(lo, hi)}
+        for k, g in enumerate(grams):
+            assert g not in seen or words >= set(range(k, k + 50)), (i, k)
+            n += g in seen
+        seen.update(grams)
+    assert n > 100
+
+
 @pytest.mark.parametrize("share", [0.1, 0.15, 0.19])
 def test_fuzzy_passages_are_found(spark, share):
     rng = np.random.default_rng(7)
