@@ -2,8 +2,9 @@
 
 Native: regular expressions, higher-order functions over arrays, and one aggregate that trains the models;
 documents are not shuffled. Base spans follow three patterns, leftmost and non-overlapping for each kind. The
-method adds runs of MIN_RUN or more token characters that overlap no base span and whose log-likelihood
-ratio between two first-order character models is above a threshold. The models count the character pairs of
+method adds runs of MIN_RUN or more token characters that overlap no base span and whose log-likelihood ratio between two first-order character models is above a threshold. Of
+other runs it adds every stretch whose own ratio is above it, out to the next character that joins words, so
+that ordinary words in a run do not outweigh a secret. The models count the character pairs of
 labelled samples (1: random string, 0: ordinary identifier); their size is the square of the alphabet.
 
 Edge cases: a null text counts as empty; a text without spans gets empty strings and the hash of the empty
@@ -100,6 +101,37 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), zero, step, lambda acc: acc["sum"])
 
 
+def random_stretches(token: Column, model: list[float], threshold: float, least: int) -> Column:
+    """array<struct<start, end>> in a token of the alphabet, in time linear in its length: the whole if its ratio is
+    above threshold, else stretches of at least least characters around sums above it; a sum ends where it is
+    used up, or has lost more than threshold."""
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(F.lit(_SIZE).alias("at"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best"), F.lit(0).alias("start"), F.lit(0).alias("end"), spans.alias("out"))
+    added = lambda acc, when: F.when(when & (acc["best"] > threshold), F.array_append(acc["out"], F.struct(acc["start"].alias("start"), acc["end"].alias("end")))).otherwise(acc["out"])
+
+    def step(acc: Column, c: Column) -> Column:
+        to = F.instr(F.lit(ALPHABET), c) - 1
+        ratio = F.get(table, acc["at"] * _SIZE + to)
+        now, n = acc["now"] + ratio, acc["n"] + 1
+        over = (now <= 0) | (acc["best"] - now > threshold)
+        best = F.when(over, 0.0).otherwise(F.greatest(acc["best"], now))
+        end = F.when(now > acc["best"], n).otherwise(acc["end"])
+        return F.struct(to.alias("at"), n.alias("n"), (acc["sum"] + ratio).alias("sum"), F.when(over, 0.0).otherwise(now).alias("now"), best.alias("best"), F.when(over, n).otherwise(acc["start"]).alias("start"), end.alias("end"), added(acc, over).alias("out"))
+
+    def widened(s: Column) -> Column:
+        word = lambda x: F.length(F.regexp_extract(x, "^[A-Za-z0-9]*", 0))
+        before, after = F.reverse(F.substring(token, F.lit(1), s["start"])), F.substring(token, s["end"] + 1, F.lit(2**31 - 1))
+        return F.struct((s["start"] - word(before)).alias("start"), (s["end"] + word(after)).alias("end"))
+
+    def found(acc: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), acc["n"].alias("end")))
+        parts = F.array_distinct(F.transform(added(acc, F.lit(True)), widened))
+        return F.when(acc["sum"] > threshold, whole).otherwise(F.filter(parts, lambda s: s["end"] - s["start"] >= least))
+
+    return F.aggregate(F.split(token, ""), zero, step, found)
+
+
 def _ends(lengths: Column) -> Column:
     """Running sums of an array, chunk by chunk so that appending stays cheap."""
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK)), lambda k: F.slice(lengths, (k * _CHUNK + 1).cast("int"), _CHUNK))
@@ -144,8 +176,12 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, leas
     base = F.array_sort(F.concat(*[F.col(f"s{k}") for k in range(len(KINDS))]))
     df = df.withColumn("secret_base", base)
     free = F.filter(markov, lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    random = F.filter(free, lambda s: log_ratio(s["token"], model) > threshold)
-    added = F.when(F.size(markov) > 0, random).otherwise(F.col(markov))
+
+    def random(s: Column) -> Column:
+        part = lambda r: F.struct((s["start"] + r["start"]).alias("start"), s["kind"].alias("kind"), (s["start"] + r["end"]).alias("end"), F.substring(s["token"], r["start"] + 1, r["end"] - r["start"]).alias("token"))
+        return F.transform(random_stretches(s["token"], model, threshold, least), part)
+
+    added = F.when(F.size(markov) > 0, F.flatten(F.transform(free, random))).otherwise(F.col(markov))
     return df.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added))).select(*own, "secret_base", "secret_spans")
 
 

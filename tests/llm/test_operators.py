@@ -80,6 +80,26 @@ def test_markov_separates(spark):
     assert len(secrets.train(samples.where("label = 7"))) == 68 * 67
 
 
+def test_secrets_joined_to_words(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list(secrets.ALPHABET[:62]), n))
+    model = secrets.train(secrets.labelled_samples(spark))
+    rows = []
+    for i in range(200):
+        words = [str(w) for w in rng.choice(secrets.WORDS, 8)]
+        own = [text(24 + i % 17), text(32)]
+        rows.append((i, "see " + "/".join([*words[:4], own[0], *words[4:]]) + " x", own[:1]))
+        rows.append((1000 + i, "_".join([own[0], *words, *words, own[1]]), own))
+        rows.append((2000 + i, "/".join([*words, *words]), []))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(df, model).withColumn("clean", secrets.redacted(F.col("text"), F.col("secret_spans"))).collect()}
+    for r in got.values():
+        assert all(r.text[s.start : s.end] == s.token and len(s.token) >= secrets.MIN_RUN for s in r.secret_spans)
+    hit = [x not in got[i].clean for i, _, own in rows for x in own]
+    assert sum(hit) >= 0.97 * len(hit)
+    assert sum(bool(got[i].secret_spans) for i, _, own in rows if not own) <= 2
+
+
 def measured(text):
     w = WORD.findall(text)
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
