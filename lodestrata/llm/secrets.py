@@ -2,8 +2,9 @@
 
 Native: regular expressions, higher-order functions over arrays, and one aggregate that trains the models;
 documents are not shuffled. Base spans follow three patterns, leftmost and non-overlapping for each kind. The
-method adds runs of MIN_RUN or more token characters that overlap no base span and whose log-likelihood ratio between two first-order character models is above a threshold. Of
-other runs it adds every stretch whose own ratio is above it, out to the next character that joins words, so
+method takes runs of MIN_RUN or more token characters, cuts the base spans out of them, and adds the pieces of
+MIN_RUN or more whose log-likelihood ratio between two first-order character models is above a threshold. Of
+other pieces it adds every stretch whose own ratio is above it, out to the next character that joins words, so
 that ordinary words in a run do not outweigh a secret. The models count the character pairs of
 labelled samples (1: random string, 0: ordinary identifier); their size is the square of the alphabet.
 
@@ -132,6 +133,20 @@ def random_stretches(token: Column, model: list[float], threshold: float, least:
     return F.aggregate(F.split(token, ""), zero, step, found)
 
 
+def _without(run: Column, base: Column) -> Column:
+    """The pieces of a span that other spans, sorted by start, leave."""
+    part = lambda lo, hi: F.struct(lo.alias("start"), run["kind"].alias("kind"), hi.alias("end"), F.substring(run["token"], (lo - run["start"] + 1).cast("int"), (hi - lo).cast("int")).alias("token"))
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    zero = F.struct(run["start"].alias("at"), F.slice(F.array(run), 1, 0).alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(b["start"] > acc["at"], F.array_append(acc["out"], part(acc["at"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    last = lambda acc: F.when(acc["at"] < run["end"], F.array_append(acc["out"], part(acc["at"], run["end"]))).otherwise(acc["out"])
+    return F.aggregate(over, zero, step, last)
+
+
 def _ends(lengths: Column) -> Column:
     """Running sums of an array, chunk by chunk so that appending stays cheap."""
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK)), lambda k: F.slice(lengths, (k * _CHUNK + 1).cast("int"), _CHUNK))
@@ -175,7 +190,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, leas
     markov = f"s{len(KINDS)}"
     base = F.array_sort(F.concat(*[F.col(f"s{k}") for k in range(len(KINDS))]))
     df = df.withColumn("secret_base", base)
-    free = F.filter(markov, lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter(F.flatten(F.transform(markov, lambda s: _without(s, F.col("secret_base")))), lambda s: F.length(s["token"]) >= least)
 
     def random(s: Column) -> Column:
         part = lambda r: F.struct((s["start"] + r["start"]).alias("start"), s["kind"].alias("kind"), (s["start"] + r["end"]).alias("end"), F.substring(s["token"], r["start"] + 1, r["end"] - r["start"]).alias("token"))
