@@ -155,6 +155,25 @@ def token_index(t):
     return j.select("doc_id", F.md5(F.array_join("ids", ",")).alias("ids"), F.size("ids").cast("long").alias("n"))
 
 
+def padded_index(docs, size=6000, width=300):
+    """doc_id, ids, n of every document: its first width words among the size most frequent, by rank, padded with 0."""
+    from pyspark.sql import Window
+
+    w = docs.select("doc_id", F.posexplode(T.tokens(T.without_marks(F.col("text")), _STOP)).alias("pos", "term"))
+    v = w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
+    v = v.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "term"))).drop("n")
+    j = w.join(v, "term").groupBy("doc_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]), 1, width).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return docs.select("doc_id").distinct().join(j, "doc_id", "left").select("doc_id", T.padded(ids, width).alias("ids"), F.size(ids).cast("long").alias("n"))
+
+
+@query("fn31_padded_index", f"""with w as (select doc_id, unnest({_TOK}) as term, generate_subscripts({_TOK}, 1) as pos from documents), v as (select term, row_number() over (order by count(*) desc, term) as id from w group by term qualify id <= 6000),
+j as (select doc_id, id, row_number() over (partition by doc_id order by pos) as k from w join v using (term)), p as (select doc_id, unnest(range(1, 301)) as k from (select distinct doc_id from documents))
+select p.doc_id, md5(string_agg(coalesce(id, 0)::varchar, ',' order by p.k)) as ids, count(id) as n from p left join j on p.doc_id = j.doc_id and p.k = j.k group by p.doc_id""")
+def whole_token_index(t):
+    return padded_index(t("documents")).withColumn("ids", F.md5(F.array_join("ids", ",")))
+
+
 @query("fn32_sha256", "select doc_id, sha256(text) as sha from documents")
 def sha(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("sha"))

@@ -128,3 +128,14 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.table("counted").agg(F.sum("n")).first()[0] == events.count()
     assert windows.sessions(typed).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_padded_index_keeps_rare_words(spark):
+    from lodestrata.plans.documents import padded_index
+
+    word = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "z"
+    texts = [(1, " ".join(word(i) for i in range(700))), (2, " ".join(word(i) for i in range(640))), (3, word(690)), (4, "")]
+    got = {r.doc_id: r for r in padded_index(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(len(r.ids) == 300 for r in got.values())
+    assert got[3].n == 1 and got[3].ids[0] > 0 and not any(got[3].ids[1:]) and got[4].n == 0 and not any(got[4].ids)
+    assert got[1].n == 300 and len(set(got[1].ids)) == 300
