@@ -99,10 +99,10 @@ def padded(ids: Column, width: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), width)), 1, width)
 
 
-def coherence(text: Column) -> Column:
-    """Markdown report score: headings .5, tables .1, data .2, and up to .2 as fewer lines are 'not confirmed'."""
+def coherence(text: Column, doubt: str = "not confirmed") -> Column:
+    """Markdown report score: headings .5, tables .1, data .2, and up to .2 as fewer lines hold the words of doubt."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    rate = F.size(F.filter(lines, lambda x: F.lower(x).contains("not confirmed"))) / F.greatest(F.size(lines), F.lit(1))
+    rate = F.size(F.filter(lines, lambda x: F.lower(x).contains(doubt))) / F.greatest(F.size(lines), F.lit(1))
     has = lambda w: F.lower(text).contains(w).cast("double")
     score = 0.2 * has("objective") + 0.3 * has("achieve") + 0.2 * has("data quality") + 0.1 * has("|") + F.greatest(F.lit(0.0), 0.2 * (1 - F.least(F.lit(1.0), rate / 0.25)))
     return F.when(F.size(lines) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).otherwise(0.0)
