@@ -53,11 +53,34 @@ def degrees(t):
     return G.degrees(edges(t)).withColumn("strength", F.round("strength", 4))
 
 
-@query("gr3_gr4_components", f"with e as ({_EDGES}) select count(distinct node) as nodes, 1.0::double as pair_fraction from (select src as node from e union all select dst from e)")
+_STRONG = f"select * from ({_EDGES}) where (src * 7 + dst * 3) % 11 < 2"
+_WALK = f"with recursive e as ({_STRONG}), b as (select src, dst from e union all select dst, src from e), w(node, reach) as (select distinct src, src from b union select w.node, b.dst from w join b on b.src = w.reach), c as (select node, min(reach) as component from w group by 1)"
+
+
+def strong(t):
+    return edges(t).where("(src * 7 + dst * 3) % 11 < 2")
+
+
+@query("gr3_gr4_components", f"{_WALK}, s as (select component, count(*) as n from c group by 1) select sum(n)::bigint as nodes, count(*) as parts, round(sum(n * (n - 1) / 2) / (sum(n) * (sum(n) - 1) / 2)::double, 9) as pair_fraction from s")
 def components(t):
-    g = G.Graph(G.collected(edges(t)))
-    sizes = g.components()
-    return t("nation").sparkSession.createDataFrame([(sum(sizes), G.pair_fraction(sizes))], "nodes long, pair_fraction double")
+    n = G.component_labels(strong(t)).groupBy("component").agg(F.count("*").alias("n"))
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2) / (F.sum("n") * (F.sum("n") - 1) / 2)
+    return n.agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), F.round(pairs, 9).alias("pair_fraction"))
+
+
+@query("gr3_component_labels", f"{_WALK} select node, component from c")
+def labels(t):
+    return G.component_labels(strong(t))
+
+
+@query("gr20_random_k", f"with e as ({_EDGES}) select node from (select src as node from e union select dst from e) order by md5('5:' || node), node limit 6")
+def random_k(t):
+    return G.removal_nodes(edges(t), "random_k", 6, 5)
+
+
+@query("gr20_top_conductance", f"with e as ({_EDGES}) select node from (select src as node, cond from e union all select dst, cond from e) group by 1 order by sum(cond) desc, node limit 5")
+def top_conductance(t):
+    return G.removal_nodes(edges(t), "top_cond_degree_k", 5)
 
 
 @query("gr20_removal_candidates", f"with e as ({_EDGES}) select node from (select src as node, cond from e union all select dst, cond from e) group by 1 order by count(*) desc, sum(cond) desc, node limit 5")
@@ -75,19 +98,52 @@ def impact(t):
     return G.removal_impact(edges(t), G.degrees(edges(t)))
 
 
-@query("gr10_gr11_gr12_efficiency")
+_RING = """with recursive e as (select n_nationkey as src, n_nationkey + 1 as dst, 1.0 + n_nationkey % 3 as cost from nation where n_nationkey < 6 union all select 0, 6, 4.0 union all select 10, 11, 2.0), b as (select src, dst, cost from e union all select dst, src, cost from e),
+w(node, pos, d, path) as (select distinct src, src, 0.0::double, [src] from b union all select w.node, b.dst, w.d + b.cost, list_append(path, b.dst) from w join b on b.src = w.pos where not list_contains(path, b.dst)), s as (select node, pos, min(d) as d from w where node <> pos group by 1, 2)"""
+
+
+def ring(t):
+    """A ring of nodes 0 to 6 and, apart from it, an edge from 10 to 11: the SQL can walk all of its paths."""
+    k = F.col("n_nationkey")
+    base = t("nation").where(k < 6).select(k.alias("src"), (k + 1).alias("dst"), (1.0 + k % 3).alias("cost"))
+    more = t("nation").where(k.isin(0, 1)).select((k * 10).alias("src"), F.when(k == 0, 6).otherwise(11).alias("dst"), F.when(k == 0, 4.0).otherwise(2.0).alias("cost"))
+    return base.unionByName(more).withColumn("cond", 1 / F.col("cost"))
+
+
+@query("gr10_gr11_gr12_efficiency", _RING + " select round(sum(1 / d) / (9 * 8), 9) as efficiency, round(avg(d), 9) as aspl from s")
 def efficiency(t):
-    g = G.Graph(G.collected(edges(t)))
-    eff, aspl = g.sampled(list(range(len(g.nodes))))
-    return t("nation").sparkSession.createDataFrame([(eff, aspl)], "efficiency double, aspl double")
+    return G.efficiency(ring(t)).select(F.round("efficiency", 9).alias("efficiency"), F.round("aspl", 9).alias("aspl"))
 
 
-@query("gr13_gr14_resistance")
+# On a ring the resistance of two nodes is that of both ways in parallel; between components it is ten median costs times the nodes.
+_RESIST = """e as (select n_nationkey as src, 1.0 + n_nationkey % 3 as cost from nation where n_nationkey < 6 union all select 6, 4.0), n as (select src as v, coalesce(sum(cost) over (order by src rows between unbounded preceding and 1 preceding), 0) as pos, sum(cost) over () as total from e),
+p as (select a.v as src, b.v as dst, (b.pos - a.pos) * (a.total - (b.pos - a.pos)) / a.total as resistance from n a join n b on a.v < b.v union all select 10, 11, 2.0 union all select v, x, 10 * (select median(cost) from (select cost from e union all select 2.0)) * 9 from n, (values (10), (11)) t(x))"""
+
+
+@query("gr13_gr14_resistance", f"with {_RESIST} select src, dst, round(resistance, 6) as resistance from p")
 def resistance(t):
-    g = G.Graph(G.collected(edges(t)))
-    r = g.resistance()
-    rows = [(g.nodes[i], float(1 / r[i].sum()) if r[i].sum() > 0 else 0.0) for i in range(len(g.nodes))]
-    return t("nation").sparkSession.createDataFrame(rows, "node int, cf_closeness double")
+    return G.resistances(ring(t)).withColumn("resistance", F.round("resistance", 6))
+
+
+@query("gr14_current_flow", f"with {_RESIST}, b as (select src, dst, resistance from p union all select dst, src, resistance from p) select src as node, round(1 / sum(resistance), 9) as cf_closeness from b group by 1")
+def current_flow(t):
+    p = G.resistances(ring(t))
+    both = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "resistance"))
+    return both.groupBy(F.col("src").alias("node")).agg(F.round(1 / F.sum("resistance"), 9).alias("cf_closeness"))
+
+
+@query("gr16_resk", "select unnest([0, 1, 2, 3, 4, 5, 6]) as node, true as positive")
+def resk(t):
+    """Without a node of the ring the rest is a path, so every resistance rises or is that of a penalty."""
+    impact = G.removal_impact(ring(t), G.removal_nodes(ring(t)))
+    return impact.where("node < 10").select("node", (F.col("resk") != 0).alias("positive"))
+
+
+@query("gr9_sampled_betweenness")
+def sampled_betweenness(t):
+    e = edges(t)
+    nodes = [r.node for r in G.removal_nodes(e, "random_k", 8).collect()]
+    return G.node_metrics(e, nodes).select("node", "betweenness")
 
 
 @query("ml3_evaluation")
