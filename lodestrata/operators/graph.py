@@ -171,7 +171,7 @@ class Graph:
         """Effective resistance of all pairs, component by component; the penalty between components. A node that is gone
         has a row of zeros."""
         n = len(self.nodes)
-        r = np.full((n, n), self.penalty(gone) if penalty is None else penalty)
+        r = np.full((n, n), self.penalty(gone) if penalty is None else penalty, dtype=float)
         for part in self.parts(gone):
             inv = self._without(gone)._laplacian_inverse(part) if gone >= 0 else self._laplacian_inverse(part)
             r[np.ix_(part, part)] = np.add.outer(inv.diagonal(), inv.diagonal()) - 2 * inv

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import ranking
 from lodestrata.operators.records import latest_version
 
 #: States of a treatment and those that may follow.
@@ -31,14 +32,8 @@ def audit_of(log: DataFrame, ident: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, prefix: str, order: list[str], already: int = 0) -> DataFrame:
-    """Column id: prefix_1, prefix_2 ... in order, after those already there. Rows are numbered within ranges of the order, and
-    ranges follow on from the counts before them, so no task gets all rows. Not unique once rows are deleted: prefer uuid()."""
-    spread = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    counts = spread.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    placed = spread.withColumn("_own", own).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
-    return placed.withColumn("id", F.concat(F.lit(f"{prefix}_"), (F.col("_before") + F.col("_own") + already).cast("string"))).drop("_range", "_own", "_before")
+    """Column id: prefix_1, prefix_2 ... in order, after those already there. Not unique once rows are deleted: prefer uuid()."""
+    return ranking.numbered(df, [F.col(c) for c in order], "_n").withColumn("id", F.concat(F.lit(f"{prefix}_"), (F.col("_n") + already).cast("string"))).drop("_n")
 
 
 def treatment_started(info: Column, action: Column, user: Column, at: Column) -> Column:

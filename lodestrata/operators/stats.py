@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,25 +59,66 @@ def cronbach(df: DataFrame, items: list[str], by: list[str]) -> DataFrame:
 
 def tf_idf(docs: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, term, weight: tf x (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1."""
-    n = docs.agg(F.count("*").alias("n")).first().n
+    n = docs.agg(F.count("*").alias("n")).scalar()  # a subquery: nothing runs while the plan is made
     tf = docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = tf.join(df_, "term").withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    raw = tf.join(df_, "term").withColumn("raw", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def min_max(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Columns scaled to 0..1 within groups; 0 where constant or not finite."""
-    w = Window.partitionBy(*by)
-    of = {}
-    for c in columns:
-        x = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
-        of[c] = F.coalesce(F.when(hi > lo, (x - lo) / (hi - lo)), F.lit(0.0))
-    return df.withColumns(of)
+    """Columns scaled to 0..1 within groups; 0 where constant or not finite. Groups are aggregated, rows are not shuffled
+    by them."""
+    x = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
+    j = _with_groups(df, by, [a for c in columns for a in (F.min(x[c]).alias(f"_lo_{c}"), F.max(x[c]).alias(f"_hi_{c}"))])
+    lo, hi = lambda c: F.col(f"_lo_{c}"), lambda c: F.col(f"_hi_{c}")
+    out = j.withColumns({c: F.coalesce(F.when(hi(c) > lo(c), (x[c] - lo(c)) / (hi(c) - lo(c))), F.lit(0.0)) for c in columns})
+    return out.select(*df.columns)
+
+
+def _with_groups(df: DataFrame, by: list[str], aggregates: list) -> DataFrame:
+    """df with aggregates of its groups, a null key being a group; a partial aggregate and a join, so that Spark can broadcast the
+    groups or split a large one."""
+    groups = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*aggregates)
+    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(groups[f"_by_{c}"]) for c in by])
+    return df.join(groups, on)
 
 
 def z_scores(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumns({c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)) for c in columns})
+    j = _with_groups(df, by, [a for c in columns for a in (F.avg(c).alias(f"_avg_{c}"), F.stddev_samp(c).alias(f"_sd_{c}"))])
+    return j.withColumns({c: F.try_divide(F.col(c) - F.col(f"_avg_{c}"), F.col(f"_sd_{c}")) for c in columns}).select(*df.columns)
+
+
+def survival_quartiles(curve: DataFrame, time: str, by: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """by, share, time: the first time of a Kaplan-Meier curve at which survival is 1 - share or less; null if it never is."""
+    cols = [F.min(F.when(F.col("survival") <= 1 - s + 1e-12, F.col(time))).alias(f"q{i}") for i, s in enumerate(shares)]
+    wide = curve.groupBy(*by).agg(*cols)
+    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"q{i}").alias("time")) for i, s in enumerate(shares)])))
+
+
+def survival_bounds(curve: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """A Kaplan-Meier curve with lower and upper: its confidence bounds on the scale of log survival, 1 at most."""
+    s = F.col("survival")
+    half = z * F.sqrt("variance") / s
+    return curve.withColumns({"lower": F.when(s > 0, s * F.exp(-half)), "upper": F.when(s > 0, F.least(F.lit(1.0), s * F.exp(half)))})
+
+
+def restricted_mean(curve: DataFrame, time: str, by: list[str], upto: float) -> DataFrame:
+    """by, mean: the area below each curve from 0 to upto."""
+    w = Window.partitionBy(*by).orderBy(time)
+    part = curve.where(F.col(time) < upto).select(*by, F.col(time).alias("_t"), "survival", F.coalesce(F.lead(time).over(w), F.lit(upto)).alias("_next"), F.row_number().over(w).alias("_r"))
+    area = F.sum((F.least("_next", F.lit(upto)) - F.col("_t")) * F.col("survival")) + F.min("_t")
+    return part.groupBy(*by).agg(area.alias("mean"))
+
+
+def cluster_fit(sse: list[tuple[int, float]], n: int, width: int) -> list[tuple]:
+    """k, sse, r2, semi-partial r2 (what the k-th cluster adds) and BIC of each (k, sse), k from 1 on."""
+    import math
+
+    total, out, last = sse[0][1], [], None
+    for k, s in sse:
+        r2 = 1 - s / total if total else 0.0
+        out.append((k, s, r2, None if last is None else r2 - last, n * math.log(s / n) + k * (width + 1) * math.log(n) if s > 0 else None))
+        last = r2
+    return out

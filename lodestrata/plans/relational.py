@@ -108,7 +108,7 @@ def enriched(t):
     return j.select(F.col("user_id").alias("c_custkey"), "first_type", "last_type", "nation")
 
 
-@query("joi15_semi_joi4", "select s_suppkey, s_nationkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
+@query("joi15_semi", "select s_suppkey, s_nationkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
 def semi(t):
     return t("supplier").join(t("nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_nationkey")
 
@@ -196,7 +196,8 @@ def first(t):
 @query("win8_win9_ranks", "select s_suppkey, row_number() over (order by s_acctbal desc, s_suppkey)::int as place, rank() over (partition by s_nationkey order by round(s_acctbal, -3)) + (count(*) over (partition by s_nationkey, round(s_acctbal, -3)) - 1) / 2 as avg_rank from supplier")
 def ranks(t):
     s = t("supplier").withColumn("b", F.round("s_acctbal", -3))
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"), R.average_rank("b", ["s_nationkey"]).alias("avg_rank"))
+    s = R.numbered(s, [F.desc("s_acctbal"), F.col("s_suppkey")]).withColumn("place", F.col("place").cast("int"))
+    return s.select("s_suppkey", "place", R.average_rank("b", ["s_nationkey"]).alias("avg_rank"))
 
 
 @query("win11_vl6_first_match", "select user_id, arg_min(value, (ts, event_id)) filter (value > 50) as first_high, arg_min(event_type, (ts, event_id)) filter (event_type <> 'click') as first_other from events group by 1")
@@ -235,7 +236,7 @@ def stratified(t):
     return R.stratified(t("orders"), "o_orderstatus", {"F": 50, "O": 100}, "s", "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@query("set9_set10_split", "select o_orderkey, case when p < 0.7 then 'train' when p < 0.85 then 'valid' else 'test' end as split from (select o_orderkey, (row_number() over (partition by o_orderstatus order by md5('t' || o_orderkey), o_orderkey) - 1) / count(*) over (partition by o_orderstatus) as p from orders)")
+@query("set9_split", "select o_orderkey, case when p < 0.7 then 'train' when p < 0.85 then 'valid' else 'test' end as split from (select o_orderkey, (row_number() over (partition by o_orderstatus order by md5('t' || o_orderkey), o_orderkey) - 1) / count(*) over (partition by o_orderstatus) as p from orders)")
 def split(t):
     return R.split(t("orders"), ["o_orderstatus"], {"train": 0.7, "valid": 0.15, "test": 0.15}, "t", "o_orderkey").select("o_orderkey", "split")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,10 +70,82 @@ def fetched(url: str, tries: int = 5, wait: float = 0.5, opener: Callable = urll
         except urllib.error.URLError:
             if k == tries - 1:
                 raise
-        time.sleep(min(10.0, wait * 2**k))
+        time.sleep(min(10.0, wait * 2**k) * random.uniform(0.5, 1.0))  # so that many readers do not come back at once
     raise AssertionError("unreachable")
 
 
+def paged_rows(url: str, rows: int = 100, items: str = "", first: int = 0, most: int | None = None, opener: Callable = urllib.request.urlopen) -> Iterator[tuple[int, int, str]]:
+    """page, seq, payload of pages of a REST list until one is empty or shorter than asked for (or `most` pages are read). For
+    lists whose length nobody tells: pages follow one another, so it is for one task or the driver."""
+    page = first
+    while most is None or page < first + most:
+        found = _items(fetched(url.format(page=page, offset=page * rows), opener=opener), items)
+        yield from ((page, i, json.dumps(x, sort_keys=True)) for i, x in enumerate(found))
+        if len(found) < rows:
+            return
+        page += 1
+
+
+def _items(found: dict | list, path: str) -> list[dict]:
+    for key in filter(None, path.split(".")):
+        found = found[int(key)] if isinstance(found, list) else found.get(key, [])
+    return [v for v in (found.values() if isinstance(found, dict) else found) if isinstance(v, dict)]
+
+
+def link_in_page(html: str, base: str, pattern: str = r"\.pdf(\?|$)") -> str | None:
+    """The first link of a landing page whose address matches, made absolute; null if there is none."""
+    import re
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    found: list[str] = []
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            href = dict(attrs).get("href")
+            if tag == "a" and href and re.search(pattern, href, re.IGNORECASE):
+                found.append(urljoin(base, href))
+
+    Links().feed(html)
+    return found[0] if found else None
+
+
+def downloaded(urls: DataFrame, folder: str, tasks: int = 8, opener: Callable = urllib.request.urlopen, resolve: str | None = None) -> DataFrame:
+    """urls (id, url) -> id, url, path, status (ok, exists, empty or failed), n_bytes, error. A file that is there is not fetched
+    again; a new one is written beside its name and then renamed, so a repeated task leaves no half file. With resolve (a
+    pattern), a page of HTML is read for a link that matches, and that is fetched. folder is one that all tasks share."""
+    import pandas as pd
+
+    def one(ident, url) -> tuple:
+        path = os.path.join(folder, str(ident))
+        if os.path.exists(path) and os.path.getsize(path):
+            return ident, url, path, "exists", os.path.getsize(path), None
+        try:
+            with opener(url, timeout=60) as r:
+                content = r.read()
+            if resolve and content.lstrip()[:1] == b"<":
+                if not (url := link_in_page(content.decode("utf-8", "replace"), url, resolve)):
+                    return ident, url, None, "failed", 0, "no link in the page"
+                with opener(url, timeout=60) as r:
+                    content = r.read()
+        except (OSError, ValueError) as e:
+            return ident, url, None, "failed", 0, f"{type(e).__name__}: {e}"
+        if not content:
+            return ident, url, None, "empty", 0, None
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
+            f.write(content)
+        os.replace(part, path)
+        return ident, url, path, "ok", len(content), None
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            yield pd.DataFrame([one(i, u) for i, u in zip(batch["id"], batch["url"], strict=True)], columns=["id", "url", "path", "status", "n_bytes", "error"])
+
+    return urls.select(F.col("id").cast("string").alias("id"), "url").repartition(tasks).mapInPandas(run, "id string, url string, path string, status string, n_bytes long, error string")
+
+
 class PagedJson(DataSource):
     """format("paged_json"): pages of a REST list. Options: url with {page} and {offset}, rows, pages, first, items (path of
     the list in a response, dots between). Each page is a partition; an empty one gives no rows. A row is page, seq, payload."""
@@ -97,10 +172,7 @@ class _PagedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         page, rows = partition.value, int(self.options.get("rows", 100))
         found = fetched(self.options["url"].format(page=page, offset=page * rows))
-        for key in filter(None, self.options.get("items", "").split(".")):
-            found = found[int(key)] if isinstance(found, list) else found.get(key, [])
-        values = list(found.values()) if isinstance(found, dict) else found
-        for i, item in enumerate(v for v in values if isinstance(v, dict)):
+        for i, item in enumerate(_items(found, self.options.get("items", ""))):
             yield page, i, json.dumps(item, sort_keys=True)
 
 
