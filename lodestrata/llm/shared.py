@@ -37,13 +37,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: it is computed once, has no lineage, and
-    survives the loss of any executor."""
+    survives the loss of any executor. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Deletes what keep() wrote, when nothing that is still to run reads it."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(uri: str) -> str | None:
@@ -71,12 +88,13 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
 
 
-def small_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Whole texts go to Python in Arrow batches; this bounds their rows for the session, so that a batch
-    of long texts stays small. Results do not depend on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 128, size: int = 8 << 20) -> None:
+    """Whole texts go to Python in Arrow batches; this bounds their rows and bytes, so that a batch of long
+    texts stays small (one text is the least). The bounds stay set in the session, as plans are run later;
+    results do not depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).lower().rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def tidy(run):
