@@ -1,28 +1,33 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents of a source fall into blocks by a seeded hash. A source whose target is q times its words gives
-all of its blocks floor(q) times, and in a seeded order as many more as reach the fraction left; the block
-in which that fraction ends gives the documents that fit, in hash order (it has about BLOCK_DOCS documents, or
-a BLOCKS-th of its source). The tree then deals the exact number
-of blocks that each source gives among the output shards: a node splits its blocks between its two halves
-by a multivariate-hypergeometric draw, down to single shards, so that every shard is a fair sample and all
-quotas sum exactly. Each shard takes the next blocks of each source's permuted list: they are disjoint. In
-a shard, rows are shuffled by a seeded hash.
-
-Scale: documents are reduced to their word counts in one pass without shuffling texts. A source has at most
-BLOCKS blocks, ordered stretch by stretch with prefix sums over the stretches, and no window runs over the documents of a source
-but for those of its last block. The driver holds one row for each source, and sources x shards counts; the
-rows are broadcast behind a check of their number, and beyond it joined with salt.
+Documents of a source fall into blocks of about BLOCK_DOCS by a seeded hash, and the blocks stand in a seeded order:
+the source's list. A source whose target is q times its words has a quota of floor(q) turns of all of its blocks, and
+as many more as reach the fraction left; the block in which that fraction ends gives the documents that fit, in hash
+order. The tree deals these exact quotas among the output shards: a node splits its blocks between its two halves by
+a multivariate-hypergeometric draw, down to single shards, so that every shard is a fair sample and all quotas
+sum exactly. A shard draws the next blocks of each source's list: they are disjoint. What a document gives is what
+its block was drawn for. In a shard, rows are shuffled by a seeded hash.
+
+Scale: documents are reduced to their word counts in one pass without shuffling texts; rows alike are counted first
+and numbered, so that each is a row of its own in some block. Blocks are ordered stretch by stretch with prefix sums
+over the stretches, as many as each has blocks (the root of their number): no window runs over the documents of a source. Nodes hold only
+sources with blocks left. The driver splits the first levels of the tree, up to NODES entries; tasks split what
+is below, and give one row for each source of a shard. The driver holds one row for each source, MAX_SOURCES at most:
+more are refused with a ValueError. Their rows are broadcast behind a check of their number, and beyond it joined
+with salt. Beyond MAX_TURNS blocks in all (numpy's bound for a draw is 10^9) blocks grow instead.
 
 Edge cases: a null text has no words; a null source is a source of its own, the last; empty tables give no
-rows; documents without words are taken zero words; rows that share a doc_id are mixed each on its own; a
-source without words has target zero; other columns are ignored. The result depends on the rows alone, not
-on their order or partitions.
+rows; documents without words are taken zero words; rows that share a doc_id, or all columns, are mixed each on its
+own; a source without words has target zero; other columns are ignored, or carried by mixed() whatever their names; a
+text of any length is one document. The result depends on the rows alone, not on their order or partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +38,13 @@ from lodestrata.llm.token_files import spread
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: At most so many blocks in a source, and about so many documents in a block of a small one.
-BLOCKS = 1 << 14
+#: Documents of a block, about; words of a shard (some 50 MB of text).
 BLOCK_DOCS = 16
-SHARD_WORDS = 50_000_000
+SHARD_WORDS = 8_000_000
+#: Blocks that the tree may deal in all; sources, and entries of nodes, that the driver may hold.
+MAX_TURNS = 1 << 29
+MAX_SOURCES = 1 << 20
+NODES = 1 << 20
 #: Up to so many sources their rows (about 100 bytes each) are broadcast; more are joined by merge, with salt.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
@@ -60,24 +68,57 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out
 
 
-def splitting_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """quota[source, shard]: the blocks of each source dealt exactly among shards of equal numbers of blocks."""
-    quota = np.zeros((len(blocks), shards), dtype=np.int64)
-    nodes = [(0, shards, np.array(blocks, dtype=np.int64))]
+def halves(lo: int, hi: int, have: np.ndarray, seed: int) -> np.ndarray:
+    """What the first half of the shards lo to hi draws of the blocks that a node has."""
+    total, mid = int(have.sum()), (lo + hi) // 2
+    return np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, total * (mid - lo) // (hi - lo), method="marginals") if total else have
+
+
+def splitting_tree(node: tuple, seed: int, most: int = 0) -> Iterator[tuple]:
+    """The leaves below a node (lo, hi, sources, blocks, starts): shards lo to hi have so many blocks of each source,
+    from a place of its list on. With `most`, nodes are left whole once they are so many, in order."""
+    nodes = [node]
+    if most:
+        while len(nodes) < most and any(n[1] - n[0] > 1 for n in nodes):
+            nodes = [child for n in nodes for child in (_children(n, seed) if n[1] - n[0] > 1 else [n])]
+        yield from nodes
+        return
     while nodes:
-        lo, hi, have = nodes.pop()
-        if hi - lo == 1:
-            quota[:, lo] = have
-            continue
-        mid, total = (lo + hi) // 2, int(have.sum())
-        draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, total * (mid - lo) // (hi - lo), method="marginals") if total else have
-        nodes += [(lo, mid, draw), (mid, hi, have - draw)]
-    return quota
+        n = nodes.pop()
+        if n[1] - n[0] == 1:
+            yield n
+        else:
+            nodes += _children(n, seed)[::-1]
+
+
+def _children(node: tuple, seed: int) -> list[tuple]:
+    lo, hi, sources, have, starts = node
+    left = halves(lo, hi, have, seed)
+    out = []
+    for a, b, n, at in ((lo, (lo + hi) // 2, left, starts), ((lo + hi) // 2, hi, have - left, starts + left)):
+        some = n > 0
+        out.append((a, b, sources[some], n[some], at[some]))
+    return out
+
+
+_NODE = "lo long, hi long, sources array<long>, have array<long>, starts array<long>"
+
+
+def _deal(seed: int):
+    """Nodes -> source_no, shard, start, n: the places of each source's list that each shard draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, *arrays in zip(*[batch.column(c) for c in ("lo", "hi", "sources", "have", "starts")], strict=True):
+                for shard, _, sources, n, starts in splitting_tree((lo.as_py(), hi.as_py(), *[a.values.to_numpy() for a in arrays]), seed):
+                    yield pa.RecordBatch.from_arrays([pa.array(sources), pa.array(np.full(len(sources), shard)), pa.array(starts), pa.array(n)], names=["source_no", "shard", "start", "n"])
+
+    return run
 
 
 def _fill(block):
     """The documents of a source's last block that fit, in the order of their hash, into the words left."""
-    block = block.sort_values(["place", "doc_id", "size"], kind="stable")
+    block = block.sort_values(["at", "doc_id", "size"], kind="stable")
     left, got = float(block["room"].iloc[0]), []
     for size in block["size"]:
         got.append(size <= left)
@@ -97,27 +138,36 @@ def _with_plan(sized: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     if sources <= BROADCAST_SOURCES:
         return sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.source)).drop(plan.source)
     plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sized = sized.withColumn("_salt", F.pmod("place", F.lit(SALTS)).cast("int"))
+    sized = sized.withColumn("_salt", F.pmod("at", F.lit(SALTS)).cast("int"))
     met = sized.join(plan.hint("merge"), (sized._salt == plan._salt) & sized.source.eqNullSafe(plan.source))
     return met.drop(plan.source, plan._salt, sized._salt)
 
 
 def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (the output shard of each time that the document is
-    taken) and place (its key in the shuffle of a shard), one row for each row of docs (doc_id, source, text)."""
+    taken), orders (its key in the shuffle of each) and place (a hash of the row), one row for each row of docs (doc_id,
+    source, text)."""
     spark = docs.sparkSession
-    sized = keep(docs.select("doc_id", "source", F.size(words_of(text_or_empty())).cast("long").alias("size"), _key(seed).alias("place")), "sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    sized = docs.select("doc_id", "source", F.size(words_of(text_or_empty())).cast("long").alias("size"), _key(seed).alias("place"))
+    sized = keep(sized.groupBy("doc_id", "source", "size", "place").agg(F.count("*").alias("m")), "sizes")  # rows alike are counted
+    rows = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.sum("m").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     if not rows:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards"), "place")
+        none = F.array().cast
+        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), none("array<long>").alias("shards"), none("array<long>").alias("orders"), "place")
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     goal = targets([r.words for r in rows])
-    per = [(i, r.source, r.words, t, min(BLOCKS, -(-r.n // BLOCK_DOCS)), int(t // r.words) if r.words else 0) for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
-    plan = spark.createDataFrame(per, "source_no int, source string, source_size long, target double, blocks int, times int")
-    placed = _with_plan(sized, plan, len(per)).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int"))
-    block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("times").alias("times"))
+    a_block = max(BLOCK_DOCS, -(-2 * sum(r.n for r in rows) // MAX_TURNS))
+    per = [(i, r.source, r.words, t, -(-r.n // a_block), int(t // r.words) if r.words else 0) for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
+    plan = spark.createDataFrame(per, "source_no long, source string, source_size long, target double, blocks long, times int")
+    rows = sized.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).drop("m")
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "place", "copy"))
+    placed = _with_plan(rows, plan, len(per)).withColumn("block", F.pmod("at", F.col("blocks")))
+    block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("times").alias("times"), F.first("blocks").alias("blocks"))
     order = F.xxhash64(F.lit(seed + 2), "source_no", "block")
-    block = keep(block.withColumn("order", order).withColumn("stretch", F.shiftright("order", 58).cast("int")), "block-words")  # 64 stretches of the order
+    stretch = F.floor(F.shiftrightunsigned("order", 33).cast("long") * F.ceil(F.sqrt(F.col("blocks"))) / (1 << 31))  # equal parts of the order
+    block = keep(block.withColumn("order", order).withColumn("stretch", stretch).drop("blocks"), "block-words")
     earlier = Window.partitionBy("source_no").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = block.groupBy("source_no", "stretch").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
     base = base.select("source_no", "stretch", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("blocks_before"))
@@ -127,33 +177,38 @@ def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataF
     extra = F.col("target") - F.col("times") * F.col("source_size")
     block = keep(block.withColumn("room", extra - (F.col("so_far") - F.col("words"))).select("source_no", "block", "rank", "times", "words", "room"), "blocks")
     # room: words that the block may still give beyond the whole times; part of it where it is less than the block has
-    given = block.select("source_no", "rank", "times", (F.col("room") > 0).cast("int").alias("more"))
-    totals = {r.source_no: r for r in given.groupBy("source_no").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum("more").alias("more")).collect()}
-    counts = [totals[i].n * totals[i].times + totals[i].more for i in range(len(per))]
+    totals = block.groupBy("source_no").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum((F.col("room") > 0).cast("long")).alias("more"))
+    totals = {r.source_no: (r.n, r.n * r.times + r.more) for r in totals.collect()}  # one row a source
+    quotas = np.array([totals[i][1] for i in range(len(per))], dtype=np.int64)
+    some = np.flatnonzero(quotas)
     shards = max(1, -(-int(sum(goal)) // shard_words))
-    ends = np.cumsum(splitting_tree(counts, shards, seed), axis=1)
-    dealt = [(i, [int(x) for x in ends[i]], totals[i].n) for i in range(len(per))]
-    deal = spread(spark, dealt, "source_no int, ends array<long>, n long")
-    # a block's k-th turn is at place k * n + rank of its source's list; the shard is how many ends lie at or before it
-    turns = F.sequence(F.lit(0), F.col("times") + F.when(F.col("room") > 0, 0).otherwise(-1))
-    turns = F.when(F.col("times") + (F.col("room") > 0).cast("int") > 0, turns).otherwise(F.array().cast("array<int>"))
-    shard_of = lambda t: F.size(F.filter("ends", lambda e: e <= t * F.col("n") + F.col("rank"))).cast("int")
-    block = block.join(deal, "source_no").select("source_no", "block", "times", "words", "room", F.transform(turns, shard_of).alias("shards"))
-    out = placed.join(block.drop("times"), ["source_no", "block"])
+    nodes = splitting_tree((0, shards, some, quotas[some], np.zeros(len(some), np.int64)), seed, max(1, NODES // max(1, len(some))))
+    dealt = spread(spark, [(lo, hi, *(a.tolist() for a in rest)) for lo, hi, *rest in nodes], _NODE).mapInArrow(_deal(seed), "source_no long, shard long, start long, n long")
+    draws = dealt.select("source_no", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("turn"))
+    # a block's k-th turn is at place k * n + rank of its source's list
+    lists = spark.createDataFrame([(i, n) for i, (n, _) in totals.items()], "source_no long, listed long")
+    lists = F.broadcast(lists) if len(per) <= BROADCAST_SOURCES else lists.hint("merge")
+    turns = F.sequence(F.lit(0), F.col("times") + (F.col("room") > 0).cast("int") - 1)
+    turns = block.where("times > 0 or room > 0").join(lists, "source_no").select("source_no", "block", F.posexplode(turns).alias("k", "_k"), "rank", "listed")
+    drawn = turns.select("source_no", "block", "k", (F.col("k") * F.col("listed") + F.col("rank")).alias("turn")).join(draws.hint("merge"), ["source_no", "turn"])
+    drawn = drawn.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("k", "shard")))["shard"].alias("shards"))  # three turns at most
+    block = keep(block.join(drawn.hint("merge"), ["source_no", "block"], "left"), "drawn").withColumn("shards", F.coalesce("shards", F.array().cast("array<long>")))
+    out = placed.join(block.drop("times", "rank").hint("merge"), ["source_no", "block"])
     inside = out.where("room > 0 and room < words")  # the last block of each source: document by document
     inside = inside.groupBy("source_no").applyInPandas(_fill, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inside.schema.fields) + ", got boolean")
     whole = out.where("not (room > 0 and room < words)").withColumn("got", F.col("room") > 0)
     every = whole.unionByName(inside).withColumn("shards", F.when(F.col("got") | (F.col("room") <= 0), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("times"))))
-    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", "place")
+    orders = F.transform("shards", lambda _, k: F.xxhash64(F.lit(seed + 3), "at", k))
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", orders.alias("orders"), "place")
 
 
 def mixed(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself: row (a struct of all columns of docs) once for each time taken, shard and at (the sort key
-    of the shuffle within a shard). Rows alike in doc_id, source and text share one decision."""
-    turns = mix(docs, seed, shard_words).groupBy("place").agg(F.max("shards").alias("shards")).where("size(shards) > 0")
-    rows = docs.select(F.struct("*").alias("row"), _key(seed).alias("place"))
-    taken = rows.join(turns.hint("merge"), "place").select("row", "place", F.posexplode("shards").alias("turn", "shard"))
-    return taken.select("row", "shard", F.xxhash64(F.lit(seed + 3), "place", "turn").alias("at"))
+    of the shuffle within a shard). Of rows alike in doc_id, source and text the one of the smallest
+    hash stands for all."""
+    turns = mix(docs, seed, shard_words).select("place", F.inline(F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("at"))))
+    rows = docs.select(F.struct("*").alias("row"), _key(seed).alias("place")).groupBy("place").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(turns.hint("merge"), "place").select("row", "shard", "at")
 
 
 def shuffled(mixed_rows: DataFrame) -> DataFrame:
