@@ -11,7 +11,7 @@ stratum with too few labels for any proof has no cutoffs, so nothing there is re
 
 Edge cases: a null text has no words and fails the base rule; a null stratum is a stratum of its own;
 documents without labels only get verdicts; of several labels of a document the worst counts; rows that
-share a doc_id are judged each on its own; empty tables give no rows, and no labels no cutoffs; other columns
+share a doc_id are judged each on its own; a text of any length is judged whole; empty tables give no rows, and no labels no cutoffs; other columns
 are ignored. Windows are compared by 64-bit hashes of their five words.
 """
 
@@ -65,18 +65,32 @@ def with_rules(measured: DataFrame) -> DataFrame:
     return measured.withColumns({k: of[k] for k in RULES}).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n!: a table below 20, Stirling's series from there on."""
+    few = F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)]), F.least(n, F.lit(19)).cast("int"))
+    x = n.cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < 20, few).otherwise(x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), exact but for rounding: terms by recurrence in logarithms."""
-    first = n * math.log1p(-p)
-    zero = F.struct(first.alias("term"), first.alias("sum"))
+    """P(Bin(n, p) <= k), exact but for rounding: the terms from k on away from the mean, as ratios to the first.
+    Beyond 40 standard deviations they add nothing to a double, so their number grows with the root of n alone."""
+    q = 1 - p
+    low = k < n * p  # else 1 - P(Bin >= k + 1)
+    i = F.when(low, k).otherwise(k + 1)
+    first = _log_factorial(n) - _log_factorial(i) - _log_factorial(n - i) + i * math.log(p) + (n - i) * math.log1p(-p)
+    terms = F.least(F.when(low, i).otherwise(n - i), F.ceil(40 * F.sqrt(n * (p * q))).cast("long") + 60)
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i) / (i + 1)) + math.log(p / (1 - p))
-        most = F.greatest(term, acc["sum"])
-        return F.struct(term.alias("term"), (most + F.log(F.exp(term - most) + F.exp(acc["sum"] - most))).alias("sum"))
+    def step(acc: Column, j: Column) -> Column:
+        down, up = (i - j) * q / ((n - i + j + 1) * p), (n - i - j) * p / ((i + j + 1) * q)
+        term = acc["term"] * F.when(low, down).otherwise(up)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    steps = F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<long>"))
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.exp(F.aggregate(steps, zero, step, lambda acc: acc["sum"])), F.lit(1.0)))
+    steps = F.when(terms > 0, F.sequence(F.lit(0).cast("long"), terms - 1)).otherwise(F.array().cast("array<long>"))
+    tail = F.exp(first) * F.aggregate(steps, zero, step, lambda acc: acc["sum"])
+    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.when(low, tail).otherwise(1 - tail), F.lit(1.0)))
 
 
 def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -85,11 +99,11 @@ def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA)
     # rows are counted by the number of steps each rule rejects them at, before anything is multiplied by steps
     depth = [sum((F.col(r) > c).cast("int") for c in cs).alias(f"d_{r}") for r, cs in RULES.items()]
     good = (F.col("quality") == 1).cast("long")
-    counts = labelled.select("stratum", "quality", *depth).groupBy("stratum", *[f"d_{r}" for r in RULES]).agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    counts = keep(labelled.select("stratum", "quality", *depth).groupBy("stratum", *[f"d_{r}" for r in RULES]).agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad")), "counts")
     steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.col(f"d_{r}") >= len(cs) - i).alias("hit")) for r, cs in RULES.items() for i, c in enumerate(cs)])
     table = counts.select("stratum", "good", "bad", F.inline(steps)).groupBy("stratum", "rule", "step", "cutoff").agg(F.sum("good").alias("n_good"), F.sum(F.when(F.col("hit"), F.col("good")).otherwise(0)).alias("rejected_good"), F.sum(F.when(F.col("hit"), F.col("bad")).otherwise(0)).alias("rejected_bad"))
-    strata = F.size(F.collect_set(F.struct(F.coalesce("stratum", F.lit("")), F.col("stratum").isNull())).over(Window.partitionBy()))
-    table = table.withColumn("level", F.lit(delta) / (strata * len(RULES)))
+    strata = max(1, counts.select("stratum").distinct().count())
+    table = table.withColumn("level", F.lit(delta / (strata * len(RULES))))
     walk = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     safe = binomial_tail(F.col("rejected_good"), F.col("n_good"), alpha / len(RULES)) <= F.col("level")
     table = table.withColumn("safe", safe).withColumn("stands", F.min(F.col("safe").cast("int")).over(walk) == 1).where("stands")
