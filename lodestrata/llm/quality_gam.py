@@ -9,9 +9,9 @@ Features come from the text alone, by JVM expressions over each row; only their
 model is fitted on the driver to a bounded sample of labelled rows (SAMPLE, chosen by a hash).
 
 Edge cases: a null text counts as empty and is scored; of several labels of a document the worst counts; null
-and other labels are skipped; without labels every score is 0.5, and with labels of one kind only that kind's
-smoothed share; rows that share a doc_id are scored each on its own; an empty table gives no rows; other
-columns are ignored.
+and other labels are skipped; of rows that share a labelled doc_id one is learned from, the least in its features; without labels every score is 0.5, and with labels of one kind only that kind's
+smoothed share; rows that share a doc_id are scored each on its own; a text of any length is one row; an empty table
+gives no rows; other columns are ignored, or carried by keep_good() whatever their names.
 """
 
 from __future__ import annotations
@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     """The model of labels.quality, from at most `sample` labelled rows outside the held-out fold."""
     truth = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = features(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").orderBy("doc_id", *FEATURES).toPandas()  # at most `sample` documents are sent to each task
+    rows = features(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")  # at most `sample` ids are sent to each task
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "quality", "x.*").toPandas().sort_values("doc_id")  # and one row of each comes back
     x = np.nan_to_num(rows[FEATURES].to_numpy(dtype=np.float64).reshape(-1, len(FEATURES)))
     return Gam(len(FEATURES)).fit(x, rows["quality"].to_numpy(dtype=np.float64))
 
