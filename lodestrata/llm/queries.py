@@ -34,7 +34,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
-    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"), end_id=0, vocabulary=50_257)
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"), end_id=0)
     return token_files.read_token_files(spark, folder, manifest)
 
 

@@ -5,8 +5,8 @@ Layout of a corpus folder: for each part `<name>.tok` (ids, unsigned 16 or 32 bi
 `<name>.doc` (Arrow file: doc_id, n_tokens), and `manifest.json` with the parts in order and their bases.
 
 Edge cases: a null text counts as empty and gives the end id alone; a null doc_id sorts first and stays null;
-rows that share a doc_id are kept, ordered by a hash of their text; an empty table gives no rows and a
-manifest without parts; other columns of the input are ignored, whatever their names.
+rows that share a doc_id are kept, ordered by a hash of their text; a text of any length is one document; an empty
+table gives no rows and a manifest without parts; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +49,11 @@ def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
             sizes = []
             for _, part in in_slices(texts):
                 for ids in enc.encode(part):
-                    ids = ids if dtype == "<u4" else np.frombuffer(ids, "<u4").astype(dtype).tobytes()
+                    if dtype != "<u4":
+                        wide = np.frombuffer(ids, "<u4")
+                        if len(wide) and int(wide.max()) > np.iinfo(dtype).max:
+                            raise ValueError(f"id {wide.max()} does not fit into {dtype}")
+                        ids = wide.astype(dtype).tobytes()
                     out.write(ids)
                     out.write(end)
                     sizes.append(len(ids) // np.dtype(dtype).itemsize + 1)
@@ -82,14 +86,22 @@ def _offsets(folder: str):
     return write
 
 
-def _flat(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A flat file: mapped where the store is a file system, else read."""
+class _Ranges:
+    """A flat file of another store, read range by range."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        fs, root = file_system(folder)
+        self.file, self.dtype = fs.open_input_file(f"{root}/{name}"), np.dtype(dtype)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        lo, hi = int(at.start), int(at.stop)
+        return np.frombuffer(self.file.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
+
+
+def _flat(folder: str, name: str, dtype: str) -> np.ndarray | _Ranges:
+    """A flat file: mapped where the store is a file system, else read as far as it is asked for."""
     path = local_path(folder)
-    if path:
-        return np.memmap(f"{path}/{name}", dtype=dtype, mode="r")
-    fs, root = file_system(folder)
-    with fs.open_input_file(f"{root}/{name}") as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    return np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if path else _Ranges(folder, name, dtype)
 
 
 def _reader(folder: str, dtype: str):
@@ -97,19 +109,22 @@ def _reader(folder: str, dtype: str):
         fs, root = file_system(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, offsets = _flat(folder, row["name"] + ".tok", dtype), _flat(folder, row["name"] + ".off", "<i8")
+                ids, all_offsets = _flat(folder, row["name"] + ".tok", dtype), _flat(folder, row["name"] + ".off", "<i8")
                 docs = _index(fs, root, row["name"])["doc_id"].combine_chunks()
-                local = offsets - offsets[0]
-                for at in range(0, len(docs), 8192):
-                    to = min(at + 8192, len(docs))
-                    crc = [zlib.crc32(ids[local[i] : local[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": docs[at:to], "start": pa.array(offsets[at:to]), "n_tokens": pa.array(np.diff(offsets[at : to + 1])), "ids_crc32": pa.array(crc, pa.int64())})
+                base = int(all_offsets[0:1][0])
+                for at in range(0, len(docs), 1024):
+                    to = min(at + 1024, len(docs))
+                    offsets = np.array(all_offsets[at : to + 1])
+                    part, local = ids[int(offsets[0]) - base : int(offsets[-1]) - base], offsets - offsets[0]
+                    crc = [zlib.crc32(part[local[i] : local[i + 1]].astype("<u4").tobytes()) for i in range(to - at)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": docs[at:to], "start": pa.array(offsets[:-1]), "n_tokens": pa.array(np.diff(offsets)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return read
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocabulary: int = 1 << 16) -> dict:
-    """Encode docs (doc_id, text) and write them to folder in ascending doc_id order; returns the manifest.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> dict:
+    """Encode docs (doc_id, text) and write them to folder in ascending doc_id order; returns the manifest. Ids are
+    as wide as the largest of the tokenizer's, or end_id, needs; a wider one is refused, never cut.
 
     One range shuffle of the texts puts them in order; each task writes one part under a name of its own
     attempt, and only the parts that tasks report belong to the corpus, so a repeated task does no harm.
@@ -118,7 +133,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     small_batches(spark)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    largest = max(end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values())
+    if end_id < 0 or largest >= 1 << 32:
+        raise ValueError(f"ids from 0 to {(1 << 32) - 1} only, not {min(end_id, 0) or largest}")
+    dtype = "<u2" if largest < 1 << 16 else "<u4"
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").select("doc_id", "text")
     parts = sorted(ordered.mapInArrow(tidy(_writer(folder, tokenizer, end_id, dtype)), _PART).collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts], dtype=np.int64)]).tolist()
@@ -168,4 +186,5 @@ class TokenFiles:
             self._open[k] = (_flat(self.folder, name + ".tok", self.manifest["dtype"]), _flat(self.folder, name + ".off", "<i8"))
         ids, offsets = self._open[k]
         at = i - int(self.firsts[k])
-        return ids[offsets[at] - offsets[0] : offsets[at + 1] - offsets[0]]
+        base, (lo, hi) = int(offsets[0:1][0]), (int(x) for x in offsets[at : at + 2])
+        return ids[lo - base : hi - base]
