@@ -10,7 +10,8 @@ labelled samples (1: random string, 0: ordinary identifier); their size is the s
 
 Edge cases: a null text counts as empty; a text without spans gets empty strings and the hash of the empty
 string; positions are code points, ends exclusive; rows that share a doc_id are each scanned; no samples of a
-label leave its model uniform; an empty table gives no rows; other columns are ignored or carried as they are.
+label leave its model uniform; an empty table gives no rows; a text of any length is scanned whole; other columns are
+carried as they are, whatever their names (but for secret_base and secret_spans, which are added).
 """
 
 from __future__ import annotations
@@ -181,10 +182,9 @@ def _written(spans: Column) -> Column:
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, least: int = MIN_RUN) -> DataFrame:
     """docs (with column text) -> the same columns, and secret_base and secret_spans:
     array<struct<start, kind, end, token>>, the kind an index of assign, access, hex, markov, by start and kind."""
-    own = docs.columns
     rules = [(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS)] + [(len(KINDS), f"[A-Za-z0-9+/_=-]{{{least},}}", 0, least)]
     steps = [_spans("_t", *r) for r in rules]
-    df = docs.withColumn("_t", text_or_empty())
+    df = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_t"))  # so that no column clashes
     for k in range(3):
         df = df.withColumns({name: col for s in steps for name, col in s[k].items()})
     markov = f"s{len(KINDS)}"
@@ -197,7 +197,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, leas
         return F.transform(random_stretches(s["token"], model, threshold, least), part)
 
     added = F.when(F.size(markov) > 0, F.flatten(F.transform(free, random))).otherwise(F.col(markov))
-    return df.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added))).select(*own, "secret_base", "secret_spans")
+    return df.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added))).select("_row.*", "secret_base", "secret_spans")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
