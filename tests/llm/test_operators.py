@@ -100,6 +100,23 @@ def test_secrets_joined_to_words(spark):
     assert sum(bool(got[i].secret_spans) for i, _, own in rows if not own) <= 2
 
 
+def test_secrets_of_other_makes(spark):
+    """Tokens that no sample was made like: other encodings, and ordinary names of other languages, paths and versions."""
+    rng = np.random.default_rng(14)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    lower, upper, digits = secrets.ALPHABET[26:52], secrets.ALPHABET[:26], secrets.ALPHABET[52:62]
+    random = [draw(lower + upper + digits, 22) for _ in range(100)] + [draw(lower + digits, 32) for _ in range(100)] + [draw(upper + "234567", 32) for _ in range(100)] + ["ghp_" + draw(lower + upper + digits, 36) for _ in range(100)] + [draw(lower + upper + digits + "-_", 43) for _ in range(100)]
+    words = "straße haus garten schule rechnung kunde bestellung lieferung maison jardin ecole facture commande client livraison casa jardin escuela factura pedido cliente entrega usuario senha arquivo projeto relatorio servidor biblioteca compilador verzeichnis einstellungen benutzer konfiguration".encode("ascii", "ignore").decode().split()
+    styles = ["_".join, "-".join, "/".join, lambda w: "".join(x.title() for x in w), lambda w: "/".join(w) + "-v2", lambda w: "www-" + "-".join(w) + "/index"]
+    plain = [styles[i % 6](list(rng.choice(words, 4))) for i in range(600)]
+    plain = [p for p in plain if len(p) >= secrets.MIN_RUN]
+    df = spark.createDataFrame([(i, f"see {x} now", 1) for i, x in enumerate(random + plain)], "doc_id long, text string, m0 int")
+    rows = secrets.scan(df, secrets.train(secrets.labelled_samples(spark))).collect()
+    hits = {r.doc_id for r in rows if r.secret_spans}
+    assert rows[0].m0 == 1 and sum(i in hits for i in range(500)) >= 480
+    assert sum(i in hits for i in range(500, 500 + len(plain))) <= 0.02 * len(plain) and len(plain) > 400
+
+
 def test_secrets_beside_base_spans(spark):
     model = secrets.train(secrets.labelled_samples(spark))
     own = "wJalrXUtnQ7zMIKd7MDENGbPxRfiCYq3Vb8LkT2s"
@@ -132,13 +149,30 @@ def test_quality_rules(spark, docs, empty):
 
 
 def test_binomial_tail(spark):
-    cases = [(0, 10, 0.1), (3, 50, 0.05), (7, 300, 0.02), (10, 10, 0.3), (40, 5000, 0.0125)]
+    cases = [(0, 10, 0.1), (3, 50, 0.05), (7, 300, 0.02), (10, 10, 0.3), (40, 5000, 0.0125), (9, 10, 0.3), (30, 50, 0.05), (100, 5000, 0.0125), (0, 5000, 0.0125), (4999, 5000, 0.5), (24, 25, 0.9)]
     for k, n, p in cases:
         got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p).alias("x")).first().x
         want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
         assert got == pytest.approx(want, rel=1e-8)
 
 
+def test_binomial_tail_of_many(spark):
+    got = spark.range(1).select(quality_rules.binomial_tail(F.lit(1_249_000).cast("long"), F.lit(100_000_000).cast("long"), 0.0125).alias("x")).first().x
+    sd = math.sqrt(1e8 * 0.0125 * 0.9875)
+    assert got == pytest.approx(0.5 * math.erfc((1_250_000 - 1_249_000.5) / sd / math.sqrt(2)), rel=1e-3)
+
+
+def test_rules_reject(spark):
+    """A rule that labels prove safe rejects texts that pass the base rules, in its stratum alone."""
+    plain = lambda i: " ".join(f"word{i}x{k}" for k in range(20))
+    marked = lambda i: " ".join(f"w{i}x{k} ####" for k in range(20))
+    rows = [(i, plain(i), "en") for i in range(2000)] + [(3000 + i, marked(i), "en") for i in range(100)] + [(4000, marked(-1), "en"), (4001, plain(-1), "en"), (4002, marked(-2), "xx"), (4003, "few words", "en")]
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i, *_ in rows if i < 4000], "doc_id long, quality int")
+    kept = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not kept[4000].kept and not kept[4000].base_failed and kept[4001].kept and kept[4002].kept and kept[4003].base_failed
+    assert all(kept[i].kept == (i < 2000) for i, *_ in rows if i < 4000)
+
+
 def test_thresholds_control_risk(spark):
     good = [("en", 1, 0.0, 0.05, 0.1 + 0.1 * (i % 2), 5.0) for i in range(3000)] + [("xx", 1, 0.0, 0.0, 0.1, 5.0)] * 20
     bad = [("en", 0, 0.9, 0.05, 0.1, 5.0)] * 50
@@ -159,6 +193,8 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_gam.score(docs, model).count() == docs.count()
     assert quality_gam.score(empty, model).count() == 0
     assert {r.score for r in quality_gam.score(docs, quality_gam.fit(docs, labels.limit(0))).collect()} == {0.5}
+    many = d.where("doc_id = 3").crossJoin(spark.range(500)).drop("id").unionByName(d.where("doc_id <> 3"))
+    assert quality_gam.fit(many, labels).intercept == model.intercept  # one row a label comes to the driver
     kept = quality_gam.keep_good(docs, model)
     assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
 
@@ -174,7 +210,7 @@ def test_encoder(name):
 
 def test_token_files(spark, docs, empty):
     folder = shared.new_path(spark, "test-tokens")
-    manifest = token_files.write_token_files(docs, folder, tokenizer("byte_bpe_50k.json"), 0, 50257)
+    manifest = token_files.write_token_files(docs, folder, tokenizer("byte_bpe_50k.json"), 0)
     rows = token_files.read_token_files(spark, folder, manifest).orderBy("start").collect()
     t = tokens.Encoder(tokenizer("byte_bpe_50k.json")).tokenizer
     want, have = [], Counter()
@@ -189,6 +225,14 @@ def test_token_files(spark, docs, empty):
         at += r.n_tokens
     ids = [r.doc_id for r in rows if r.doc_id is not None]
     assert ids == sorted(ids) and rows[0].doc_id is None and at == manifest["n_tokens"]
+    assert manifest["dtype"] == "<u2"
+    wide = shared.new_path(spark, "test-tokens")
+    wide_manifest = token_files.write_token_files(docs, wide, tokenizer("byte_bpe_50k.json"), 70_000)
+    assert wide_manifest["dtype"] == "<u4" and token_files.TokenFiles(wide)[0][-1] == 70_000
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, wide, tokenizer("byte_bpe_50k.json"), -1)
+    name, path = manifest["parts"][0]["name"], shared.local_path(folder)
+    assert (token_files._Ranges("file://" + path, name + ".tok", "<u2")[3:9] == np.memmap(f"{path}/{name}.tok", "<u2")[3:9]).all()
     files = token_files.TokenFiles(folder)
     assert len(files) == len(rows) and [len(files[i]) for i in range(len(files))] == [r.n_tokens for r in rows]
     folder = shared.new_path(spark, "test-tokens")
@@ -341,13 +385,53 @@ def test_mixing(spark, docs, empty, monkeypatch):
     whole = mixing.mixed(docs, shard_words=2000)
     assert whole.count() == sum(len(r.shards) for r in rows) and whole.select("row.*").columns == docs.columns
     assert mixing.shuffled(whole).count() == whole.count()
+    assert Counter((r.row.doc_id, r.shard, r.at) for r in whole.collect()) == Counter((r.doc_id, s, a) for r in rows for s, a in zip(r.shards, r.orders, strict=True))
+
+
+def test_mixing_many_shards_sources_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NODES", 64)
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(n), f"s{i % 37:02d}" if i % 3 else "big") for i, n in enumerate(rng.integers(1, 60, 3000))] + [(5000, "same words here", "copies")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix(docs, shard_words=500).collect()
+    assert len(out) == len(rows)
+    size, goal, taken, shards = Counter(), {}, Counter(), {}
+    of = {i: s for i, _, s in rows}
+    for r in out:
+        size[of[r.doc_id]] += r.size
+        goal[of[r.doc_id]] = r.target
+        taken[of[r.doc_id]] += r.taken
+        for s in r.shards:
+            shards.setdefault(s, Counter())[of[r.doc_id]] += r.size
+    assert goal == dict(zip(sorted(size), mixing.targets([size[s] for s in sorted(size)]), strict=True))
+    assert all(abs(taken[s] - goal[s]) <= 61 for s in size)
+    n = -(-int(sum(goal.values())) // 500)
+    assert set(shards) <= set(range(n)) and len(shards) > 0.9 * n > 100  # the tree goes down to single shards
+    big = [shards[s]["big"] for s in shards]
+    assert 0.7 * goal["big"] / n < sum(big) / len(big) < 1.3 * goal["big"] / n
+    some = [r for r in out if r.doc_id == 5000]
+    assert 0 < sum(r.taken for r in some) and len({o for r in some for o in r.orders}) == sum(len(r.shards) for r in some)
+    whole = mixing.mixed(docs, shard_words=500)
+    assert whole.count() == sum(len(r.shards) for r in out) and whole.where("row.doc_id = 5000").count() == sum(len(r.shards) for r in some)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
+    with pytest.raises(ValueError):
+        mixing.mix(docs)
 
 
 def test_targets_and_tree():
     assert mixing.targets([10, 10, 10]) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
-    q = mixing.splitting_tree([100, 0, 37, 5], 7, 3)
-    assert q.sum(axis=1).tolist() == [100, 0, 37, 5] and set(q.sum(axis=0).tolist()) <= {19, 20, 21} and (q >= 0).all()
+    have, root = np.array([100, 37, 5]), (0, 7, np.array([0, 2, 3]), np.array([100, 37, 5]), np.zeros(3, np.int64))
+    leaves = list(mixing.splitting_tree(root, 3))
+    assert [lo for lo, *_ in leaves] == list(range(7)) and {int(n.sum()) for *_, n, _ in leaves} <= {19, 20, 21}
+    at = dict.fromkeys((0, 2, 3), 0)
+    for _, _, sources, n, starts in leaves:  # disjoint, and whole
+        for s, k, start in zip(sources.tolist(), n.tolist(), starts.tolist(), strict=True):
+            assert start == at[s] and k > 0
+            at[s] += k
+    assert list(at.values()) == have.tolist()
+    parts = [x for n in mixing.splitting_tree(root, 3, 4) for x in mixing.splitting_tree(n, 3)]
+    assert repr(parts) == repr(leaves)
 
 
 def test_nearest(spark):
@@ -406,6 +490,70 @@ def test_quotes(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def brute_quotes(rows):
+    """Parents by reading every earlier message for every quoted passage."""
+    norm = lambda t: " ".join(t.lower().split())
+    said, quoted = {}, {}
+    for c, t, _, text in rows:
+        if c is None or t is None:
+            continue
+        lines = [(len(m[0].replace(" ", "")) if (m := re.match(r"[ \t]*(>[ \t]?)+", x)) else 0, x[m.end() :] if m else x) for x in re.split("\r?\n", text or "")]
+        own = [x for k, x in lines if not k]
+        said.setdefault((c, t), set()).update(norm(x) for x in [*own, "\n".join(own).strip("\n")] if norm(x))
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and lines[end][0] == lines[at][0]:
+                end += 1
+            if lines[at][0]:
+                part = [x for _, x in lines[at:end]]
+                quoted.setdefault((c, t), []).extend((lines[at][0], at, norm(x)) for x in {*part, "\n".join(part)} if norm(x))
+            at = end
+    parent = {}
+    for (c, t), asks in quoted.items():
+        found = [(k, at, min(u for (d, u), s in said.items() if d == c and x in s)) for k, at, x in asks if any(d == c and x in s for (d, u), s in said.items())]
+        found = [f for f in found if f[2] < t]
+        if found:
+            parent[(c, t)] = min(found)[2]
+    return parent
+
+
+def test_quotes_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for c in range(6):
+        lines = [f"line {k} of {c}" for k in range(12)] + ["yes", ""]
+        for t in range(40 if c else 300):  # the first holds a long thread
+            text = [f"own {c} {t}", *(str(x) for x in rng.choice(lines, 2))]
+            for level in range(int(rng.integers(0, 3))):
+                text.insert(int(rng.integers(0, len(text))), ">" * (level + 1) + " " + (f"OWN  {c} {t - 1 if not c else int(rng.integers(0, t + 1))}" if rng.random() < 0.8 else str(rng.choice(lines))))
+            if not c and t:
+                text = [f"> own 0 {t - 1}", f"own 0 {t}"]
+            rows.append((c, t, "u", "\n".join(text)))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, place string").repartition(5)
+    out = {(r.conv_id, r.turn): r for r in quotes.conversations(df).collect()}
+    parent = brute_quotes(rows)
+    assert len(parent) > 350 and {k: r.parent for k, r in out.items()} == {k: parent.get(k) for k in out}
+    children = {}
+    for (c, t), p in sorted(parent.items()):
+        children.setdefault((c, p), []).append((c, t))
+    want = []
+    for root in sorted(k for k in out if k not in parent):
+        todo = [(root, 0)]
+        while todo:
+            k, depth = todo.pop()
+            want.append((*k, root[1], depth))
+            todo += [(x, depth + 1) for x in reversed(children.get(k, []))]
+    assert [(r.conv_id, r.turn, r.thread, r.depth) for r in quotes.in_reply_order(quotes.conversations(df)).collect()] == want
+
+
+def test_many_quoted_lines(spark):
+    text = "\n".join("> " * (1 + i % 2) + f"line {i}" for i in range(40_000))
+    df = spark.createDataFrame([(1, 0, "a", "line 7"), (1, 1, "b", text)], "conv_id long, turn long, role string, text string")
+    r = quotes.conversations(df).where("turn = 1").first()
+    assert r.parent == 0 and r.n_quotes == 40_000
+
+
 def test_shared_passages(spark, docs, empty):
     rng = np.random.default_rng(6)
     text = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
@@ -452,6 +600,33 @@ def test_shared_passages_of_common_lines(spark):
     assert n > 100
 
 
+def test_passages_whose_parts_stand_earlier(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, long = text(60), text(300)
+    rows = [(i, text(9) + passage[k : k + 24] + text(9)) for i, k in enumerate([0, 5, 10, 15, 20, 25, 30, 36])] + [(20, text(30) + passage), (21, passage + text(10))]
+    fuzzy = [f"x{i}" if i % 30 == 29 else w for i, w in enumerate(long)]
+    rows += [(30 + i, text(5) + long[k : k + 29] + text(5)) for i, k in enumerate(range(60, 300, 30))] + [(50, long + text(50)), (51, text(70) + fuzzy)]
+    copy = text(55)
+    rows += [(60, copy), (61, copy), (61, copy), (62, copy), (63, copy[:40]), (64, copy[:40])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.first_doc_id): r for r in substring.shared_passages(df).collect()}
+    assert set(got) == {(21, 20), (51, 50), (61, 60), (62, 60)}
+    r = got[(51, 50)]  # only 60 words of it are seeded: its end needs more words than an alignment gets at first
+    assert (r.start_word, r.end_word, r.first_start, r.first_end) == (70, 369, 0, 299) and r.matched_words == 290
+    assert (got[(62, 60)].start_word, got[(62, 60)].end_word) == (0, 55)
+
+
+def test_passages_do_not_depend_on_units(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, int(n))) for n in rng.integers(5, 30, 20)]
+    docs = spark.createDataFrame([(i, " ".join(lines[k] for k in rng.integers(0, 20, 12))) for i in range(40)], "doc_id long, text string")
+    rows = sorted(map(tuple, substring.shared_passages(docs, 20).collect()))
+    monkeypatch.setattr(substring, "UNIT_WORDS", (64, 64))
+    monkeypatch.setattr(substring, "BUCKET_SEEDS", 16)
+    assert sorted(map(tuple, substring.shared_passages(docs.repartition(11), 20).collect())) == rows and rows
+
+
 @pytest.mark.parametrize("share", [0.1, 0.15, 0.19])
 def test_fuzzy_passages_are_found(spark, share):
     rng = np.random.default_rng(7)
@@ -470,7 +645,8 @@ def test_fuzzy_passages_are_found(spark, share):
 
 def test_ends_extend_over_words_left_out():
     a = np.arange(40)
-    assert substring._extend(a, np.delete(a, 10)) == (40, 39, 39) and substring._extend(a, a + 100) == (0, 0, 0)
+    assert substring._extend(a, np.delete(a, 10))[:3] == (40, 39, 39) and substring._extend(np.r_[a, a + 100, a], np.r_[a, 7, a + 100, 8, 8, a])[:3] == (120, 123, 120) and substring._extend(a, a + 100) == (0, 0, 0, False, False)
+    assert substring._extend(a[:20], a) == (20, 20, 20, True, False) and substring._extend(a, a[:20])[3:] == (False, True)
 
 
 def test_chains_and_alignment():
@@ -479,7 +655,19 @@ def test_chains_and_alignment():
     assert best == [0, 1, 3, 4]
     a = np.array([1, 2, 3, 4, 5, 6])
     assert substring.common(a, a) == 6 and substring.common(a, np.array([2, 9, 4, 6])) == 3 and substring.common(a, a[:0]) == 0
-    w = np.arange(100, dtype=np.uint64) * np.uint64(7919)
-    at, seed = substring.seeds_of(w)
-    assert len(at) and np.diff(at).max() <= substring.GAPS + 1 and len(substring.seeds_of(w[:4])[0]) == 0
-    assert set(substring.seeds_of(w[30:60])[1]) & set(seed)
+    w = np.arange(100, dtype=np.uint32) * np.uint32(7919)
+    pos, seed = substring.unit_seeds(w, np.array([0, 60, 63, 100]))
+    assert pos.tolist() == [*range(56), *range(2 << 32, (2 << 32) + 33)]
+    assert set(substring.unit_seeds(w[30:60], np.array([0, 30]))[1]) <= set(seed)
+
+
+def test_word_hashes():
+    text = " Aé  b\tb\x0bAÉ\n" + "long" * 2000 + " aé "
+    places, hashes = substring.word_hashes(text.encode())
+    words = text.encode().split()
+    assert len(hashes) == len(words) and [text.encode()[p : p + len(w)] for p, w in zip(places, words, strict=True)] == words
+    assert hashes[0] == hashes[-1] != hashes[3] and hashes[1] == hashes[2]
+    wide = (b"x" * 3_000_000 + b" yy ") * 2 + b"z " * 1_500_000
+    h = substring.word_hashes(wide)[1]
+    assert len(h) == 4 + 1_500_000 and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3 and (h[4:] == h[4]).all()
+    assert len(substring.word_hashes(b"")[0]) == 0 == len(substring.word_hashes(b" \n")[1])
