@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
 A stage takes (spark, docs, sf_dir) and gives the documents that go on, with the columns of documents; the
-last gives the pieces and their places in sequences.
+last gives the pieces with their token ids and places in sequences.
+
+Edge cases: an empty table gives no rows at every stage; a null or empty text is a document without words, which
+the classifier scores like any other, near-dedup takes for a copy of other empty ones, and packing gives its end id;
+a null doc_id or source is kept; repeated rows stay one in near-dedup; texts of any length are taken whole; further
+columns, whatever their names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -37,13 +42,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.mixed(docs).select("row.*")
+    """Documents as often as the mix takes them, not at all, once or twice, shard by shard and shuffled within each."""
+    return mixing.shuffled(mixing.mixed(docs)).select("row.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 4096 tokens."""
-    return packing.pack_pieces(packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"), end_id=1))
+    """Pieces of the documents, their token ids, and their places in sequences of 4096 tokens."""
+    return packing.pack_pieces(packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"), end_id=1, with_ids=True))
 
 
 STAGES = [
