@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Unit vectors get binary codes: the signs of a learned rotation (principal axes turned so that signs lose
-least, fitted to a bounded sample). A code is split into substrings, each indexed in a table of its own
+least, fitted to a bounded sample). A code is split into substrings, each indexed in a table of buckets of its own
 within every block of vectors. By the pigeonhole, a code within Hamming radius r of a query has some
-substring within its share of r, so probing each table at that radius retrieves every code within r; these
-are then reranked by cosine on the original floats, in double precision. The radius is learned too: the
-distance that covers the wanted share of true neighbours within the sample, where neighbours are farther
-than among all vectors, so that the share among all is larger. A block with fewer than k codes within the
-radius is searched whole, so every query gets its k nearest found if there are k.
-
-Queries and vectors are dealt into blocks by a hash and meet block by block: a task holds one block of
-each, returns at most k rows for each of its queries, and these are merged. Copies of a vector within a
-block are searched once, with the k + 1 smallest ids that can appear.
+substring within its share of r, so probing the buckets of each table at that radius retrieves every code within r;
+these are then reranked by cosine on the original floats, in double precision. Radii are learned too: the greatest is
+the distance that covers the wanted share of true neighbours within the sample, where neighbours are farther
+than among all vectors, so that the share among all is larger; and for each cosine one that covers that share of
+the pairs at least so near. A query probes at NEAR bits first. If that finds k, the k-th cosine tells how far the
+search must go on, so a query amid close neighbours never probes far. A block with fewer than k codes within the
+greatest radius is searched whole, so every query gets its k nearest found if there are k.
+
+Copies of a vector are one vector with the k + 1 smallest ids, before anything is searched; so a hot vector is one row.
+Queries and vectors are dealt into blocks by a hash of the vector, as many as their number asks for (not the cores), and
+meet block by block: a task holds one block of each, returns at most k + 1 rows for each of its queries, and these are
+merged. A query must ask every block, as its neighbours may be in any: rows shuffled are vectors times query blocks and
+queries times vector blocks.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-those of another length than most; ties go to the smaller vec_id; repeated rows are rows of their own, and
-only the query's own row is left out; an empty table gives no rows; other columns are ignored.
+those of another length than most, or without vec_id; ties go to the smaller vec_id; repeated rows are rows of their own,
+and only the query's own row is left out; an empty table gives no rows; vectors of any length are whole in a task;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ SAMPLE = 4096
 PROBES = 512
 RECALL = 0.96
 SUBSTRINGS = 4
-BLOCK = 20_000
-QUERY_BLOCK = 4_000
+#: Radius that every query probes at first; numbers of a block of vectors and of queries (components, at most about).
+NEAR = 8
+BLOCK = 400_000
+QUERY_BLOCK = 64_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
@@ -67,103 +74,131 @@ def cosine(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def learn_radius(codes: Codes, sample: np.ndarray, k: int, recall: float = RECALL) -> int:
-    own, found = codes.of(sample), []
-    for i in range(min(PROBES, len(sample))):
-        score = cosine(sample, sample[i])
-        score[i] = -np.inf
-        near = np.argsort(-score)[: min(k, len(sample) - 1)]
-        found.append(distances(own[near], own[i]))
-    found = np.concatenate(found) if found else np.array([])
-    return int(np.ceil(np.quantile(found, recall))) if len(found) else codes.bits
+class Radii:
+    """How far codes of neighbours lie: at most `most` bits, or fewer where a neighbour's cosine is known."""
+
+    def __init__(self, codes: Codes, sample: np.ndarray, k: int, recall: float = RECALL):
+        own, found, pairs = codes.of(sample), [], []
+        for i in range(min(PROBES, len(sample))):
+            score = cosine(sample, sample[i])
+            score[i] = -np.inf
+            near = np.argsort(-score)[: min(k, len(sample) - 1)]
+            d = distances(own, own[i])
+            found.append(d[near])
+            pairs.append(np.column_stack([score, d])[np.isfinite(score)])
+        found = np.concatenate(found) if found else np.array([])
+        self.most = int(np.ceil(np.quantile(found, recall))) if len(found) else codes.bits
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2))
+        self.cosines = np.linspace(1.0, -1.0, 41)  # radius[i] covers pairs within a step of cosines[i]; the last pairs are the farthest
+        radius, last = [], 0
+        for c in self.cosines:
+            here = pairs[np.abs(pairs[:, 0] - c) <= 0.05, 1]
+            angle = codes.bits * np.arccos(np.clip(c, -1, 1)) / np.pi  # where the sample has no such pair: the mean and twice its spread
+            last = max(last, int(np.ceil(np.quantile(here, recall))) if len(here) >= 20 else int(np.ceil(angle + 2 * np.sqrt(angle) + 1)))
+            radius.append(last)
+        self.radius = np.array(radius)
+
+    def beyond(self, score: float) -> int:
+        """Bits within which neighbours of at least this cosine lie."""
+        return min(self.most, int(self.radius[np.searchsorted(-self.cosines, -score).clip(max=len(self.radius) - 1)]))
 
 
 class Index:
-    """The tables of one block."""
+    """The tables of one block: rows by the value of each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
+        self.codes, self.tables = codes, []
+        for j in range(codes.shape[1]):
+            order = np.argsort(codes[:, j], kind="stable")
+            values, start = np.unique(codes[order, j], return_index=True)
+            self.tables.append((values, np.r_[start, len(order)], order))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows of every code within the radius: substrings share it by the pigeonhole, then whole codes are compared."""
+        """Rows of every code within the radius: substrings share it by the pigeonhole, buckets within that share are
+        read, then whole codes are compared."""
         share, over = divmod(radius, len(self.tables))
-        hit = np.zeros(len(self.codes), dtype=bool)
-        for j, (values, row_value) in enumerate(self.tables):
+        seen = np.zeros(len(self.codes), dtype=bool)
+        for j, (values, start, order) in enumerate(self.tables):
             reach = share if j <= over else share - 1
             if reach >= 0:
-                hit |= (_POPCOUNT[values ^ code[j]] <= reach)[row_value]
-        rows = np.flatnonzero(hit)
+                at = np.flatnonzero(_POPCOUNT[values ^ code[j]] <= reach)
+                n = start[at + 1] - start[at]
+                seen[order[np.repeat(start[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]] = True
+        rows = np.flatnonzero(seen)
         return rows[distances(self.codes[rows], code) <= radius]
 
 
-def _first_copies(ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-    """Rows to search: of equal vectors the k + 1 smallest ids."""
-    order = np.lexsort((uids, ids))
-    whole = np.ascontiguousarray(vectors[order] + 0.0).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
-    _, inverse = np.unique(whole, return_inverse=True)
-    by = np.argsort(inverse, kind="stable")
-    start = np.flatnonzero(np.r_[True, np.diff(inverse[by]) > 0])
-    place = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
-    return np.sort(order[by[place <= k]])
-
-
-def search_block(codes: Codes, radius: int, k: int, queries, rows) -> dict[str, list]:
-    out: dict[str, list] = {"uid": [], "query_id": [], "vec_id": [], "score": []}
-    vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    ids, uids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy()
-    keep_rows = _first_copies(ids, uids, vectors, k)
-    vectors, ids, uids = vectors[keep_rows], ids[keep_rows], uids[keep_rows]
-    index, unit = Index(codes.of(vectors)), vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
-    asked = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-    for uid, qid, vector, code in zip(queries["uid"], queries["vec_id"], asked, codes.of(asked), strict=True):
-        at = index.within(code, radius)
-        at = at[uids[at] != uid]
-        if len(at) < k:
-            at = np.flatnonzero(uids != uid)
-        if len(at) > k:
+def search_block(codes: Codes, radii: Radii, k: int, queries, block) -> dict[str, list]:
+    """The k + 1 best rows of a block of distinct vectors for each query: query, vec_id, score."""
+    out: dict[str, list] = {"query": [], "vec_id": [], "score": []}
+    vectors = np.stack(block["v"].to_numpy()).astype(np.float64)
+    ids = block["ids"].to_numpy()
+    size, norm = np.array([len(x) for x in ids]), np.sqrt((vectors * vectors).sum(axis=1))
+    index, unit = Index(codes.of(vectors)), vectors / norm[:, None]
+    asked = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    for query, vector, code in zip(queries["key"], asked, codes.of(asked), strict=True):
+        length = np.sqrt((vector * vector).sum())
+        at = index.within(code, min(NEAR, radii.most))
+        enough = size[at].sum() > k
+        if enough:
+            rough = np.repeat(unit[at] @ vector / length, size[at])
+            to = radii.beyond(float(np.partition(rough, -k - 1)[-k - 1]))
+        if not enough or to > NEAR:
+            at = index.within(code, to if enough else radii.most)
+        if size[at].sum() <= k:
+            at = np.arange(len(vectors))
+        if len(at) > k + 1:
             rough = unit[at] @ vector
-            at = at[rough >= np.partition(rough, -k)[-k] - 1e-9 * np.sqrt((vector * vector).sum())]
-        score = cosine(vectors[at], vector)
-        best = np.lexsort((ids[at], -score))[:k]
-        out["uid"] += [uid] * len(best)
-        out["query_id"] += [qid] * len(best)
-        out["vec_id"] += ids[at[best]].tolist()
+            at = at[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * length]
+        score = np.repeat(cosine(vectors[at], vector), size[at])
+        own = np.concatenate([ids[i] for i in at])
+        best = np.lexsort((own, -score))[: k + 1]
+        out["query"] += [query] * len(best)
+        out["vec_id"] += own[best].tolist()
         out["score"] += score[best].tolist()
     return out
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding, uid of the rows that take part."""
+def usable(vectors: DataFrame, asked) -> DataFrame:
+    """vec_id, v, key (a hash of v) and asked of the rows that take part."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(sound)
-    top = some.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return keep((some.where(F.size("embedding") == top.n) if top else some).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    v = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # no negative zeros
+    some = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    some = keep(some.withColumn("key", F.xxhash64("v", F.reverse("v"))), "vectors")
+    top = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return some.where(F.size("v") == top.n) if top else some
 
 
 def nearest(vectors: DataFrame, asked, k: int = 5, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each usable row that the condition `asked` selects."""
     import pandas as pd
 
-    rows = usable(vectors)
-    n, n_asked = rows.count(), rows.where(asked).count()
-    schema = "uid long, query_id long, vec_id long, score double"
-    if not n_asked:
+    rows = usable(vectors, asked)
+    if not rows.where("asked").limit(1).count():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id", "uid"), "uid").limit(SAMPLE).collect()], dtype=np.float64)
-    distinct = np.unique(sample, axis=0)
-    codes = Codes(distinct)
-    radius = learn_radius(codes, distinct[np.random.default_rng(3).permutation(len(distinct))], k, recall)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n_blocks, n_query_blocks = max(1, -(-n // BLOCK), min(4 * cores, n // 1000)), max(1, -(-n_asked // QUERY_BLOCK))
+    least = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
+    distinct = keep(least.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("v").alias("v")).join(rows.groupBy("key").agg(F.max("asked").alias("asked")).hint("merge"), "key"), "distinct")
+    n, n_asked, width = distinct.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.max(F.size("v"))).first()
+    sample = np.array([r.v for r in distinct.orderBy("key").limit(SAMPLE).collect()], dtype=np.float64)
+    codes = Codes(sample)
+    radii = Radii(codes, sample[np.random.default_rng(3).permutation(len(sample))], k, recall)
+    n_blocks, n_query_blocks = -(-n * width // BLOCK), -(-n_asked * width // QUERY_BLOCK)
 
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         none = not len(queries) or not len(block)
-        return pd.DataFrame({"uid": [], "query_id": [], "vec_id": [], "score": []} if none else search_block(codes, radius, k, queries, block))
-
-    block, query_block = F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).alias("b"), F.pmod(F.xxhash64("uid"), F.lit(n_query_blocks)).alias("q")
-    left = rows.where(asked).select("*", query_block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
-    right = rows.select("*", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))).alias("q"))
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, schema)
-    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return pd.DataFrame({"query": [], "vec_id": [], "score": []} if none else search_block(codes, radii, k, queries, block))
+
+    dealt = lambda of, parts: F.pmod(F.xxhash64(F.lit(of), "key"), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    left = distinct.where("asked").select("key", "v", dealt("q", n_query_blocks).alias("q"), every(n_blocks).alias("b"))
+    right = distinct.select("ids", "v", dealt("b", n_blocks).alias("b"), every(n_query_blocks).alias("q"))
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, "query long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
+    own = rows.where("asked").select("key", F.col("vec_id").alias("query_id")).join(best.hint("merge"), F.col("key") == F.col("query"))
+    # the query's own row is one of its vector's, at the place of its id; where that is none of the best, the last of them goes
+    at = F.array_position(F.transform("best", lambda x: x["vec_id"]), F.col("query_id")).cast("int")
+    rest = F.filter("best", lambda x, i: (i + 1) != F.when(at > 0, at).otherwise(k + 1))
+    out = own.select("query_id", F.posexplode(rest).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -459,6 +459,8 @@ def test_nearest(spark):
             if ids[k] == 200:
                 assert [r.vec_id for r in mine] == [100, 100, 201, 202, 203]
     assert hit >= 0.9 * n
+    key = lambda rs: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rs)
+    assert key(ann.nearest(df.repartition(11).withColumns({"b": F.lit(1), "q": F.lit("x"), "key": F.lit(0)}), F.col("vec_id") % 50 == 0).collect()) == key(got)
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert {r.vec_id for r in few} == {1, 2}
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -473,6 +475,35 @@ def test_multi_index_is_exact_within_radius():
             assert index.within(q, radius).tolist() == np.flatnonzero(ann.distances(codes, q) <= radius).tolist()
 
 
+def test_close_neighbours_are_probed_near():
+    """Amid clusters a query compares few codes, and still finds what brute force does."""
+    rng = np.random.default_rng(15)
+    centres = rng.standard_normal((200, 64))
+    x = np.repeat(centres, 30, axis=0) + 0.1 * rng.standard_normal((6000, 64))
+    codes = ann.Codes(x[rng.permutation(6000)[:2000]])
+    radii = ann.Radii(codes, x[rng.permutation(6000)[:2000]], 5)
+    index, seen, hit = ann.Index(codes.of(x)), 0, 0
+    own = codes.of(x)
+    for i in range(0, 6000, 50):
+        at = index.within(own[i], ann.NEAR)
+        score = ann.cosine(x[at], x[i])
+        at = index.within(own[i], radii.beyond(float(np.sort(score)[-6])))
+        best = np.argsort(-ann.cosine(x, x[i]))[1:6]
+        seen, hit = seen + len(at), hit + len(set(best) & set(at.tolist()))
+    assert hit >= 0.95 * 600 and seen / 120 < 100  # of 6000
+
+
+def test_recall_on_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(got[q] & set(ids[np.argsort(-np.where(ids == q, -9, ann.cosine(x, x[i])))[:5]].tolist())) for i, q in enumerate(ids) if q % 50 == 0)
+    assert hit >= 0.93 * 5 * len(got) and all(len(v) == 5 for v in got.values())
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nsecond line"), (1, 1, "bot", "answer one"), (1, 2, "user", "> hello   THERE\nI disagree"), (1, 3, "bot", "> I disagree\n>> Hello there\nwhy"),
