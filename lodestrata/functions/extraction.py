@@ -14,7 +14,7 @@ THIRD = r"(?im)^{label}:\s+[\d,.]+\s+[\d,.]+\s+([\d,.]+)"
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def amount(text: Column, name: str) -> Column:
@@ -65,3 +65,21 @@ def indicators(text: Column) -> Column:
         v = lambda k: F.replace(F.get(values, F.lit(k)), F.lit(","), F.lit("")).try_cast("double")
         return F.when(F.size(values) >= 4, F.struct(F.trim(F.regexp_extract(head, r"^([^(]+)", 1)).alias("name"), F.regexp_extract(head, r"\(([^,)]+)", 1).alias("unit"), v(0).alias("baseline"), v(2).alias("achieved"), v(3).alias("target")))
     return F.filter(F.transform(F.split(text, BULLETS), block), lambda x: x.isNotNull())
+
+
+def rating_of(lines: Column, label: str, labels: list[str]) -> Column:
+    """The rating of a label: the second of up to two lines after it that are no labels themselves, or the first if it is
+    alone; without any, what stands behind the label in its own line."""
+    known = [x.lower() for x in labels]
+    own = lambda k: F.when(~F.lower(after_label(lines, label, k)).isin(known), after_label(lines, label, k))
+    first = own(1)
+    inline = F.array_max(F.filter(F.transform(lines, lambda x: F.nullif(F.regexp_extract(x, rf"(?i)^{label}\s*:\s*(.+)$", 1), F.lit(""))), lambda x: x.isNotNull()))
+    return rating(F.coalesce(F.when(first.isNotNull(), own(2)), first, inline))
+
+
+def dates_of(lines: Column, labels: list[str]) -> Column:
+    """map<label, yyyy-MM-dd>: labels that stand in a row of lines, with the lines after them in the same order; a line that
+    is no day (d-Mon-yyyy) gives null."""
+    last = F.array_max(F.array(*[F.array_position(F.transform(lines, F.lower), x.lower()) for x in labels]))
+    day = lambda i: F.date_format(F.try_to_timestamp(F.get(lines, (last + i).cast("int")), F.lit("d-MMM-yyyy")), "yyyy-MM-dd")
+    return F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[day(i) for i in range(len(labels))]))

@@ -47,7 +47,7 @@ def keyword_score(text: Column, keywords: list[str]) -> Column:
 
 def id_score(text: Column, ident: Column) -> Column:
     """2 if the id is in the text, 20 more if it stands alone on a line."""
-    alone = F.array_contains(F.transform(F.split(text, "\n"), F.trim), ident)
+    alone = F.array_contains(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), ident)
     return F.when(F.contains(text, ident), 2).otherwise(0) + F.when(alone, 20).otherwise(0)
 
 
