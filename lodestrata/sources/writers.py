@@ -55,3 +55,29 @@ def markdown(title: str, fields: list[tuple[str, Column]]) -> Column:
     """A report of a row; what is null or empty is 'Not confirmed'."""
     lines = [F.concat(F.lit(f"- **{n}:** "), F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("Not confirmed"))) for n, c in fields]
     return F.concat_ws("\n", F.lit(f"# {title}"), *lines)
+
+
+def write_labelled(df: DataFrame, path: str, key: str, label: str, zipped: str | None = None) -> None:
+    """A folder for each split and label (column split) and labels.csv (key, split, label) beside them; with zipped, all of it in
+    an archive: a last step on the driver, for folders that it can see."""
+    write_split(df, f"{path}/files", label)
+    write_csv(df.select(key, "split", label), f"{path}/labels.csv")
+    if zipped:
+        import os
+        import zipfile
+
+        with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(path):
+                for n in sorted(names):
+                    if not n.startswith(("_", ".")):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), path))
+
+
+def assessment_report(assessed: DataFrame, project: str, model: str) -> DataFrame:
+    """One row of markdown and json out of operators.review.assessment(): models first, then their projects. It is a report, of as
+    many lines as there are models and projects."""
+    share = F.coalesce(F.format_number(F.col("accuracy") * 100, 1), F.lit("Not confirmed"))
+    line = F.concat(F.lit("| "), F.coalesce(F.col(project).cast("string"), F.lit("all")), F.lit(" | "), F.col(model), *[F.concat(F.lit(" | "), F.col(c).cast("string")) for c in ("runs", "errors", "facts", "matched")], F.lit(" | "), share, F.lit(" |"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(project).isNotNull().alias("a"), F.col(model).alias("b"), F.col(project).cast("string").alias("c"), line.alias("line"), F.to_json(F.struct(project, model, "runs", "errors", "facts", "matched", "accuracy")).alias("json"))))
+    head = F.array(F.lit("# Assessment"), F.lit(""), F.lit("| project | model | runs | errors | facts | matched | accuracy % |"), F.lit("|-|-|-|-|-|-|-|"))
+    return assessed.agg(rows.alias("r")).select(F.array_join(F.concat(head, F.transform("r", lambda x: x["line"])), "\n").alias("markdown"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["json"]), ","), F.lit("]")).alias("json"))

@@ -14,7 +14,8 @@ from lodestrata.operators import models as M
 from lodestrata.operators import ranking as R
 from lodestrata.operators import records as X
 from lodestrata.operators import review as V
-from lodestrata.sources import readers
+from lodestrata.sources import graphs, readers, writers
+from lodestrata.streaming import windows
 
 
 def toy(spark, edges):
@@ -150,3 +151,51 @@ def test_sources_that_fail(spark, tmp_path, monkeypatch):
         rows = {r.id: r for r in readers.downloaded(urls, folder, 2, files, r"\.pdf$").collect()}
         assert [rows[k].status for k in "abcd"] == [status, "empty", "failed", status] and rows["a"].n_bytes == 7
     assert sorted(p.name for p in (tmp_path / "files").iterdir()) == ["a", "d"]
+
+
+def test_made_up_graphs(spark):
+    n = graphs.erdos_renyi(spark, 200, 0.1, 3)
+    rows = n.collect()
+    assert 0.07 < len(rows) / (200 * 199 / 2) < 0.13 and all(0 <= r.src < r.dst < 200 for r in rows) and len(set(rows)) == len(rows)
+    assert graphs.erdos_renyi(spark, 5, 1.0).count() == 10 and graphs.erdos_renyi(spark, 5, 0.0).count() == 0
+    assert graphs.watts_strogatz(spark, 30, 4, 0.0).count() == 60 and 50 <= graphs.watts_strogatz(spark, 30, 4, 0.3).count() <= 60
+    assert graphs.barabasi_albert(spark, 50, 2).count() == 96 and graphs.balanced_tree(spark, 2, 3).count() == 14
+    for law in ("lognormal", "uniform", "exponential"):
+        c = [r.cost for r in graphs.random_costs(n, law).collect()]
+        assert min(c) > 0 and abs(np.median(c) - {"lognormal": 1, "uniform": 1, "exponential": math.log(2)}[law]) < 0.1
+    assert np.median([r.cost for r in graphs.random_costs(n, "uniform", by_median=True).collect()]) == pytest.approx(1)
+    for name, articulated in {"path_10": 8, "star_10": 1, "two_triangles_bridge": 2, "square_with_diagonals": 0, "two_cliques_two_bridges": 0}.items():
+        edges = graphs.toy(spark, name).withColumns({"cond": F.lit(1.0), "cost": F.lit(1.0)})
+        assert G.removal_impact(edges, G.removal_nodes(edges)).where("articulation").count() == articulated, name
+
+
+def test_reports_and_archives(spark, tmp_path):
+    import json
+    import zipfile
+
+    runs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "project int, model string")
+    gold = spark.createDataFrame([(1, "a", 1), (1, "a", 0)], "project int, model string, matched int")
+    out = writers.assessment_report(V.assessment(runs, runs.limit(0), gold, "project", "model"), "project", "model").first()
+    assert "| all | a | 2 | 0 | 2 | 1 | 50.0 |" in out.markdown and "| 2 | b | 1 | 0 | 0 | 0 | Not confirmed |" in out.markdown
+    assert [x.get("project") for x in json.loads(out.json)] == [None, None, 1, 2]
+    df = spark.createDataFrame([(1, "train", "x"), (2, "test", "y")], "id int, split string, label string")
+    writers.write_labelled(df, str(tmp_path / "set"), "id", "label", str(tmp_path / "set.zip"))
+    names = zipfile.ZipFile(tmp_path / "set.zip").namelist()
+    assert any(n.startswith("files/split=train/label=x/") for n in names) and any(n.startswith("labels.csv/") for n in names)
+
+
+def test_late_rows_and_first_seen(spark, tmp_path):
+    ts = lambda h, m=0: __import__("datetime").datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, user_id long, event_type string, value double"
+    for i, rows in enumerate([[(ts(1), 1, "a", 1.0), (ts(1, 5), 1, "a", 1.0)], [(ts(9), 2, "a", 1.0)], [(ts(1, 30), 3, "a", 1.0), (ts(8, 30), 1, "a", 1.0)], [(ts(20), 4, "a", 1.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not i:
+            q = windows.counted(windows.landed(spark, str(tmp_path / "in"), schema, 1)).writeStream.format("memory").queryName("late").outputMode("append").start()
+            d = windows.first_seen(windows.landed(spark, str(tmp_path / "in"), schema, 1), ["user_id"], late="30 days").writeStream.format("memory").queryName("seen").outputMode("append").start()
+        q.processAllAvailable()
+        d.processAllAvailable()
+    q.stop()
+    d.stop()
+    got = {(r.start.hour, r.n) for r in spark.table("late").collect()}
+    assert got == {(1, 2), (8, 1), (9, 1)}  # the row of 1:30 came after the watermark of 8:00
+    assert sorted(r.user_id for r in spark.table("seen").collect()) == [1, 2, 3, 4]
