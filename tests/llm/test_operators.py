@@ -654,7 +654,8 @@ def test_passages_do_not_depend_on_units(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(lines[k] for k in rng.integers(0, 20, 12))) for i in range(40)], "doc_id long, text string")
     rows = sorted(map(tuple, substring.shared_passages(docs, 20).collect()))
     monkeypatch.setattr(substring, "UNIT_WORDS", (64, 64))
-    monkeypatch.setattr(substring, "BUCKET_SEEDS", 16)
+    monkeypatch.setattr(substring, "BUCKET_SEEDS", (16, 16))
+    monkeypatch.setattr(substring, "MEETING", 3)
     assert sorted(map(tuple, substring.shared_passages(docs.repartition(11), 20).collect())) == rows and rows
 
 
