@@ -34,7 +34,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
 
         fs, root = file_system(folder)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"  # of this attempt alone
-        enc, end = encoder(tokenizer), np.array([end_id], dtype=dtype).tobytes()
+        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         docs = tokens = 0
         out = index = None
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
@@ -48,15 +48,12 @@ def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = []
             for _, part in in_slices(texts):
-                for ids in enc.encode(part):
-                    if dtype != "<u4":
-                        wide = np.frombuffer(ids, "<u4")
-                        if len(wide) and int(wide.max()) > np.iinfo(dtype).max:
-                            raise ValueError(f"id {wide.max()} does not fit into {dtype}")
-                        ids = wide.astype(dtype).tobytes()
-                    out.write(ids)
-                    out.write(end)
-                    sizes.append(len(ids) // np.dtype(dtype).itemsize + 1)
+                ids = enc.encode(part)
+                flat = np.frombuffer(end.join([*ids, b""]), "<u4")  # an end id after each
+                if int(flat.max()) > np.iinfo(dtype).max:
+                    raise ValueError(f"id {flat.max()} does not fit into {dtype}")
+                out.write(flat.astype(dtype).tobytes())
+                sizes += [len(x) // 4 + 1 for x in ids]
             index.write_batch(pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
             docs, tokens = docs + len(sizes), tokens + sum(sizes)
         if out is not None:
