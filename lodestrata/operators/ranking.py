@@ -94,14 +94,21 @@ def split(df: DataFrame, by: list[str], shares: dict[str, float], seed: str, key
     return df.withColumn("split", out).drop("_place", "_hash", "_part", "_before", "_all")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Columns of sums over all rows up to each in order (ties as they come). Rows are summed within ranges of the order and
+    ranges follow on from the sums before them, so no task gets all rows."""
+    spread = df.withColumns({f"_x_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = spread.groupBy("_range").agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = spread.withColumns({f"_o_{n}": F.sum(f"_x_{n}").over(own) for n in sums}).join(F.broadcast(totals), "_range")
+    return placed.withColumns({n: F.col(f"_b_{n}") + F.col(f"_o_{n}") for n in sums}).drop("_range", *[f"{k}{n}" for n in sums for k in ("_x_", "_o_", "_b_")])
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """Column of 1, 2, ... over all rows in order. Rows are numbered within ranges of the order and ranges follow on from the
-    counts before them, so no task gets all rows."""
-    spread = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    counts = spread.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    placed = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return placed.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    """Column of 1, 2, ... over all rows in order."""
+    return running(df, order, {name: F.lit(1)})
 
 
 def kendall(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -26,10 +26,11 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str]) -> DataFra
 def gain_curve(df: DataFrame, score: str, label: str, hit: float, miss: float) -> DataFrame:
     """score, n, gain: profit of taking all rows at or above each score. Scores are counted first; the running sum is
     over distinct scores."""
+    from lodestrata.operators.ranking import running
+
     per = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("good"))
-    w = Window.orderBy(F.desc(score))
-    taken, good = F.sum("n").over(w), F.sum("good").over(w)
-    return per.select(score, taken.alias("n"), (good * hit + (taken - good) * miss).alias("gain"))
+    per = running(per, [F.desc(score)], {"taken": F.col("n"), "hits": F.col("good")})
+    return per.select(score, F.col("taken").alias("n"), (F.col("hits") * hit + (F.col("taken") - F.col("hits")) * miss).alias("gain"))
 
 
 def tiered_cost(n, limit: int = 60_000, low: int = 5, high: int = 25):

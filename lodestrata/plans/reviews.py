@@ -93,7 +93,7 @@ def run_stability(t):
 
 
 @query("val5_assessment", """with r as (select user_id % 50 as project, event_type as model, count(*) as runs, count(*) filter (value > 80) as errors, count(*) filter (event_id % 2 = 0) as facts, count(*) filter (event_id % 6 = 0) as matched from events group by 1, 2)
-select project, model, runs, errors, facts, matched, round(matched / nullif(facts, 0)::double, 9) as accuracy from (select * from r union all select null, model, sum(runs), sum(errors), sum(facts), sum(matched) from r group by model)""")
+select project, model, runs, errors, facts, matched, round(matched / nullif(facts, 0)::double, 9) as accuracy from (select * from r union all select null, model, sum(runs)::bigint, sum(errors)::bigint, sum(facts)::bigint, sum(matched)::bigint from r group by model)""")
 def assessed(t):
     e = t("events").withColumns({"project": F.col("user_id") % 50, "model": F.col("event_type"), "matched": (F.col("event_id") % 6 == 0).cast("int")})
     out = V.assessment(e, e.where("value > 80"), e.where("event_id % 2 = 0"), "project", "model")
