@@ -329,7 +329,7 @@ def anti_pairs(t):
 
 @query("joi11_pair_shares", """with f as (select s_nationkey as o, c_nationkey as d, o_orderpriority as ind, l_suppkey as sp, c_custkey % 10 as cp, sum(l_quantity) as w from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey group by 1, 2, 3, 4, 5),
 x as (select o, d, ind, sp, sum(w) as e, row_number() over (partition by o, d, ind order by sum(w) desc, sp) as r from f group by 1, 2, 3, 4), m as (select o, d, ind, cp, sum(w) as i, row_number() over (partition by o, d, ind order by sum(w) desc, cp) as r from f group by 1, 2, 3, 4), a as (select o, d, ind, sum(w) as total from f group by 1, 2, 3),
-xs as (select *, e / sum(e) over (partition by o, d, ind) as se from x where r <= 3), ms as (select *, i / sum(i) over (partition by o, d, ind) as si from m where r <= 3) select o, d, ind, sp, cp, round(total * se * si, 4) as w from xs join ms using (o, d, ind) join a using (o, d, ind)""")
+xs as (select *, e / sum(e) over (partition by o, d, ind) as se from x where r <= 3), ms as (select *, i / sum(i) over (partition by o, d, ind) as si from m where r <= 3) select o, d, ind, sp, cp, round(total * se * si, 6) as w from xs join ms using (o, d, ind) join a using (o, d, ind)""")
 def pair_shares(t):
     """The three largest ports of either side of each (origin, destination, industry), their shares made to sum to one again,
     meet within it: nine rows at most."""
@@ -342,4 +342,4 @@ def pair_shares(t):
         return top.withColumn(share, F.col("s") / F.sum("s").over(Window.partitionBy(*of))).drop("s")
 
     total = f.groupBy(*of).agg(F.sum("w").alias("total"))
-    return side("sp", "se").join(side("cp", "si"), of).join(total, of).select(*of, "sp", "cp", F.round(F.col("total") * F.col("se") * F.col("si"), 4).alias("w"))
+    return side("sp", "se").join(side("cp", "si"), of).join(total, of).select(*of, "sp", "cp", F.round(F.col("total") * F.col("se") * F.col("si"), 6).alias("w"))
