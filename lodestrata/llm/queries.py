@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann, mixing, packing, quality_gam, quality_rules, quotes, secrets, simhash, substring, token_files
+from lodestrata.llm import ann, centroids, mixing, packing, quality_gam, quality_rules, quotes, secrets, simhash, substring, token_files, toxicity, vector_codes
 from lodestrata.llm.shared import new_path
 from lodestrata.tables import table
 
@@ -62,11 +62,24 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.shared_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_token_files, op5_simhash_near_dedup, op6_best_fit_packing, op7_source_mixing, op8_nearest_neighbours, op9_quote_linking, op10_shared_passages]
+    own = [op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_token_files, op5_simhash_near_dedup, op6_best_fit_packing, op7_source_mixing, op8_nearest_neighbours, op9_quote_linking, op10_shared_passages, op11_centroid_clusters, op12_toxicity, op13_vector_codes]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be put whole into SQL: learned models, BPE, XXH64, packing and seeded draws are checked in tests."""
-    return {}
+    """SQL of the vector operators. The others can't be put whole into SQL: learned models, BPE, XXH64, packing and seeded draws are checked in tests."""
+    return {"op11_centroid_clusters": centroids.clusters_sql(), "op13_vector_codes": vector_codes.codes_sql()}
