@@ -134,18 +134,28 @@ def random_stretches(token: Column, model: list[float], threshold: float, least:
     return F.aggregate(F.split(token, ""), zero, step, found)
 
 
-def _without(run: Column, base: Column) -> Column:
-    """The pieces of a span that other spans, sorted by start, leave."""
-    part = lambda lo, hi: F.struct(lo.alias("start"), run["kind"].alias("kind"), hi.alias("end"), F.substring(run["token"], (lo - run["start"] + 1).cast("int"), (hi - lo).cast("int")).alias("token"))
-    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    zero = F.struct(run["start"].alias("at"), F.slice(F.array(run), 1, 0).alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        out = F.when(b["start"] > acc["at"], F.array_append(acc["out"], part(acc["at"], b["start"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
-
-    last = lambda acc: F.when(acc["at"] < run["end"], F.array_append(acc["out"], part(acc["at"], run["end"]))).otherwise(acc["out"])
-    return F.aggregate(over, zero, step, last)
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """text with what the spans cover replaced: mark gives the text that stands for a span, of its struct and of the place up to
+    which others before it reach. Spans are sorted and taken _CHUNK at a time, each time from the part of the text that
+    they lie in, so neither the text nor the output is copied for each."""
+    ordered = F.array_sort(spans)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK)), lambda k: F.slice(ordered, (k * _CHUNK + 1).cast("int"), _CHUNK))
+    reach = F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, c: F.array_append(acc, F.greatest(F.element_at(acc, -1), F.array_max(F.transform(c, lambda s: s["end"])))))
+    piece = lambda of, lo, hi: F.substring(of, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+
+    def written(chunk: Column, at: Column) -> Column:
+        part = piece(text, at, F.array_max(F.transform(chunk, lambda s: s["end"])))  # of what no chunk before it covers
+        zero = F.struct(F.lit("").alias("out"), at.alias("at"), part.alias("part"))
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = piece(acc["part"], acc["at"] - at, s["start"] - at)
+            return F.struct(F.concat(acc["out"], kept, mark(s, acc["at"])).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"), acc["part"].alias("part"))
+
+        return F.aggregate(chunk, zero, step, lambda acc: acc["out"])
+
+    tail = piece(text, F.element_at(reach, -1), F.lit(2**31 - 1).cast("long"))
+    done = F.concat(F.array_join(F.zip_with(chunks, F.slice(reach, 1, F.size(reach) - 1), written), ""), tail)
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def _ends(lengths: Column) -> Column:
@@ -182,34 +192,30 @@ def _written(spans: Column) -> Column:
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, least: int = MIN_RUN) -> DataFrame:
     """docs (with column text) -> the same columns, and secret_base and secret_spans:
     array<struct<start, kind, end, token>>, the kind an index of assign, access, hex, markov, by start and kind."""
-    rules = [(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS)] + [(len(KINDS), f"[A-Za-z0-9+/_=-]{{{least},}}", 0, least)]
-    steps = [_spans("_t", *r) for r in rules]
+    steps = [_spans("_t", k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS)]
     df = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_t"))  # so that no column clashes
     for k in range(3):
         df = df.withColumns({name: col for s in steps for name, col in s[k].items()})
     markov = f"s{len(KINDS)}"
     base = F.array_sort(F.concat(*[F.col(f"s{k}") for k in range(len(KINDS))]))
     df = df.withColumn("secret_base", base)
-    free = F.filter(F.flatten(F.transform(markov, lambda s: _without(s, F.col("secret_base")))), lambda s: F.length(s["token"]) >= least)
+    # runs are sought in what the base spans leave: the text with blanks in their place
+    blank = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int"))
+    df = df.withColumn("_free", _replaced(F.col("_t"), F.col("secret_base"), blank))
+    for columns in _spans("_free", len(KINDS), f"[A-Za-z0-9+/_=-]{{{least},}}", 0, least):
+        df = df.withColumns(columns)
 
     def random(s: Column) -> Column:
         part = lambda r: F.struct((s["start"] + r["start"]).alias("start"), s["kind"].alias("kind"), (s["start"] + r["end"]).alias("end"), F.substring(s["token"], r["start"] + 1, r["end"] - r["start"]).alias("token"))
         return F.transform(random_stretches(s["token"], model, threshold, least), part)
 
-    added = F.when(F.size(markov) > 0, F.flatten(F.transform(free, random))).otherwise(F.col(markov))
+    added = F.when(F.size(markov) > 0, F.flatten(F.transform(markov, random))).otherwise(F.col(markov))
     return df.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added))).select("_row.*", "secret_base", "secret_spans")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with what the spans cover, overlaps merged, replaced by mark."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.concat(acc["out"], kept, F.when(s["end"] > acc["at"], F.lit(mark)).otherwise("")).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _replaced(text, spans, lambda s, at: F.when(s["end"] > at, F.lit(mark)).otherwise(""))
 
 
 def report(scanned: DataFrame) -> DataFrame:
