@@ -18,13 +18,16 @@ merged. A query must ask every block, as its neighbours may be in any: rows shuf
 queries times vector blocks.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-those of another length than most, or without vec_id; ties go to the smaller vec_id; repeated rows are rows of their own,
+those without vec_id; vectors are near only to others of their length, and each length is searched by itself with codes of its own, one
+after the other; ties go to the smaller vec_id; repeated rows are rows of their own,
 and only the query's own row is left out; an empty table gives no rows; vectors of any length are whole in a task;
 other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,18 +167,23 @@ def usable(vectors: DataFrame, asked) -> DataFrame:
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # no negative zeros
     some = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
-    some = keep(some.withColumn("key", F.xxhash64("v", F.reverse("v"))), "vectors")
-    top = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return some.where(F.size("v") == top.n) if top else some
+    return keep(some.withColumn("key", F.xxhash64("v", F.reverse("v"))), "vectors")
 
 
 def nearest(vectors: DataFrame, asked, k: int = 5, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each usable row that the condition `asked` selects."""
-    import pandas as pd
-
     rows = usable(vectors, asked)
-    if not rows.where("asked").limit(1).count():
+    lengths = [r[0] for r in rows.groupBy(F.size("v")).agg(F.max("asked").alias("some")).where("some").orderBy(F.size("v")).collect()]  # a row a length
+    if not lengths:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_nearest(rows.where(F.size("v") == n), k, recall) for n in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, k: int, recall: float) -> DataFrame:
+    """nearest() of usable rows of one length, queries among them."""
+    import pandas as pd
+
     least = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     distinct = keep(least.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("v").alias("v")).join(rows.groupBy("key").agg(F.max("asked").alias("asked")).hint("merge"), "key"), "distinct")
     n, n_asked, width = distinct.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.max(F.size("v"))).first()
