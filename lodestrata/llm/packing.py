@@ -10,7 +10,8 @@ The plan is a list of runs: the pieces numbered lo to hi of a length go to conse
 in each, from a given offset. A run uses up a length or a group of equal sequences, and each use of a group
 at least halves the room left in it, so there are at most about 12 x 3 x capacity runs (150,000 for 4096):
 their size is bounded by the capacity and is what each task gets. Pieces are numbered within their length by
-task and place in the task; the bases of the tasks come from a window over counts, never over documents.
+task and place in the task; the bases of the tasks come from a window over counts, never over documents, and each task reads
+its own from the shared folder, so pieces are not shuffled.
 
 Edge cases: a null text counts as empty and gives the end id alone; rows that share a doc_id and null doc_ids
 are packed like any other; a document longer than the capacity is cut into full pieces and a rest, and none
@@ -26,12 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import keep, small_batches, tidy
+from lodestrata.llm.shared import file_system, keep, new_path, small_batches, tidy
 from lodestrata.llm.tokens import encoder, in_slices
 
+#: Tasks whose counts share a file.
+TASKS = 64
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
@@ -197,12 +202,26 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return plan.runs, plan.bins
 
 
-def _place(runs: np.ndarray):
+def _place(runs: np.ndarray, bases: str):
     keys = (runs[:, 0] << 40) + runs[:, 1]
 
+    def bases_of(task: int) -> np.ndarray:
+        """Pieces of each length in earlier tasks: a table of one task, of capacity + 1 numbers at most."""
+        fs, path = file_system(bases)
+        rows = pq.read_table(f"{path}/part={task // TASKS}", filesystem=fs, columns=["length", "base"], filters=[("task", "=", task)], partitioning=None)
+        length = rows.column("length").to_numpy()
+        out = np.zeros(int(length.max()) + 1, np.int64)
+        out[length] = rows.column("base").to_numpy()
+        return out
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
         for batch in batches:
-            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
+            length, number, task = (batch.column(c).to_numpy() for c in ("length", "number", "task"))
+            number = number.copy()
+            for t in np.unique(task).tolist():
+                known = known if known[0] == t else (t, bases_of(t))
+                number[task == t] += known[1][length[task == t]]
             own = runs[np.searchsorted(keys, (length << 40) + number, side="right") - 1] if len(runs) else np.zeros((0, 6), np.int64)
             k = number - own[:, 1]
             columns = {n: batch.column(n) for n in batch.schema.names if n not in ("task", "number")}
@@ -212,14 +231,17 @@ def _place(runs: np.ndarray):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """pieces of cut_pieces -> the same rows with sequence_id and offset in place of task and number."""
+    """pieces of cut_pieces -> the same rows with sequence_id and offset in place of task and number. Pieces and their ids
+    stay where they are: what a task needs of the other tasks' counts, it reads from the shared folder."""
+    spark = pieces.sparkSession
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = keep(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    bases = new_path(spark, "bases")
+    counts.select("task", "length", "base", F.floor(F.col("task") / TASKS).alias("part")).repartition("part").sortWithinPartitions("part", "task").write.partitionBy("part").parquet(bases)
     runs, _ = plan_packing(histogram, capacity)
     ordered = np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
-    numbered = pieces.join(counts.select("task", "length", "base").hint("merge"), ["task", "length"]).withColumn("number", F.col("number") + F.col("base")).drop("base")
     kept = [f for f in pieces.schema.fields if f.name not in ("task", "number")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
-    return numbered.select(*[f.name for f in kept], "number").mapInArrow(_place(ordered), schema)
+    return pieces.select(*[f.name for f in kept], "task", "number").mapInArrow(_place(ordered, bases), schema)
