@@ -9,7 +9,7 @@ sum exactly. A shard draws the next blocks of each source's list: they are disjo
 its block was drawn for. In a shard, rows are shuffled by a seeded hash.
 
 Scale: documents are reduced to their word counts in one pass without shuffling texts; rows alike are counted first
-and numbered, so that each is a row of its own in some block. Blocks are ordered stretch by stretch with prefix sums
+and numbered, COPIES at a time, so that each is a row of its own in some block. Rows are known by two 64-bit hashes. Blocks are ordered stretch by stretch with prefix sums
 over the stretches, as many as each has blocks (the root of their number): no window runs over the documents of a source. Nodes hold only
 sources with blocks left. The driver splits the first levels of the tree, up to NODES entries; tasks split what
 is below, and give one row for each source of a shard. The driver holds one row for each source, MAX_SOURCES at most:
@@ -18,8 +18,8 @@ with salt. Beyond MAX_TURNS blocks in all (numpy's bound for a draw is 10^9) blo
 
 Edge cases: a null text has no words; a null source is a source of its own, the last; empty tables give no
 rows; documents without words are taken zero words; rows that share a doc_id, or all columns, are mixed each on its
-own; a source without words has target zero; other columns are ignored, or carried by mixed() whatever their names; a
-text of any length is one document. The result depends on the rows alone, not on their order or partitions.
+own; a source without words has target zero; other columns are ignored, or carried by mixed() whatever their names, and
+rows that differ in any of them are rows of their own; a text of any length is one document. The result depends on the rows alone, not on their order or partitions.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm.shared import keep, text_or_empty, words_of
 from lodestrata.llm.token_files import spread
@@ -48,6 +49,8 @@ NODES = 1 << 20
 #: Up to so many sources their rows (about 100 bytes each) are broadcast; more are joined by merge, with salt.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
+#: Of rows alike, so many at a time are numbered, and given out, by one task.
+COPIES = 1 << 16
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -129,8 +132,31 @@ def _fill(block):
     return block.assign(got=got)
 
 
-def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.xxhash64("text"))
+def _keys(seed: int) -> list[Column]:
+    """Two hashes of doc_id, source and text."""
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.xxhash64("text"))
+    return [place.alias("place"), F.xxhash64(F.lit(seed + 4), "text", "source", "doc_id").alias("also")]
+
+
+def _row_keys(row: T.StructType, seed: int) -> list[Column]:
+    """Two hashes of all fields of the struct row. A hash passes over nulls, so where they stand goes in too; nested fields go
+    in as JSON, which tells theirs."""
+    parts = []
+    for f in row.fields:
+        value = F.col(f"row.`{f.name}`")
+        value = value if f.dataType.typeName() not in ("array", "map", "struct", "variant") else F.to_json(F.struct(value))
+        parts += [value.isNull(), value]
+    return [F.xxhash64(F.lit(seed), *parts).alias("one"), F.xxhash64(F.lit(seed + 4), *parts[::-1]).alias("two")]
+
+
+def _copies(sized: DataFrame, most: int) -> DataFrame:
+    """A row for each of the m rows alike, numbered by copy. Where they are many, several tasks number them."""
+    few = sized.where(F.col("m") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    if most <= COPIES:
+        return few
+    many = sized.where(F.col("m") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition("place", "also", "_from")
+    return few.unionByName(many.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("m")) - 1))).drop("_from"))
 
 
 def _with_plan(sized: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
@@ -145,24 +171,36 @@ def _with_plan(sized: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (the output shard of each time that the document is
-    taken), orders (its key in the shuffle of each) and place (a hash of the row), one row for each row of docs (doc_id,
-    source, text)."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.size(words_of(text_or_empty())).cast("long").alias("size"), _key(seed).alias("place"))
-    sized = keep(sized.groupBy("doc_id", "source", "size", "place").agg(F.count("*").alias("m")), "sizes")  # rows alike are counted
+    taken), orders (its key in the shuffle of each), place and also (hashes of the row) and copy (its number among the m rows
+    alike), one row for each row of docs (doc_id, source, text)."""
+    sized = _sized(docs.select("doc_id", "source", "text", *_keys(seed)))
+    return _mix(sized, _most(sized), seed, shard_words)
+
+
+def _sized(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, place, also, more columns, and m, the number of rows alike in these."""
+    sized = rows.select("doc_id", "source", F.size(words_of(text_or_empty())).cast("long").alias("size"), "place", "also", *more)
+    return keep(sized.groupBy("doc_id", "source", "size", "place", "also", *more).agg(F.count("*").alias("m")), "sizes")
+
+
+def _most(sized: DataFrame) -> int:
+    return sized.agg(F.max("m")).first()[0] or 0
+
+
+def _mix(sized: DataFrame, most: int, seed: int, shard_words: int) -> DataFrame:
+    spark = sized.sparkSession
     rows = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.sum("m").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     if not rows:
         none = F.array().cast
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), none("array<long>").alias("shards"), none("array<long>").alias("orders"), "place")
+        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), none("array<long>").alias("shards"), none("array<long>").alias("orders"), "place", "also", F.col("m").alias("copy"), "m")
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     goal = targets([r.words for r in rows])
     a_block = max(BLOCK_DOCS, -(-2 * sum(r.n for r in rows) // MAX_TURNS))
     per = [(i, r.source, r.words, t, -(-r.n // a_block), int(t // r.words) if r.words else 0) for i, (r, t) in enumerate(zip(rows, goal, strict=True))]
     plan = spark.createDataFrame(per, "source_no long, source string, source_size long, target double, blocks long, times int")
-    rows = sized.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).drop("m")
-    rows = rows.withColumn("at", F.xxhash64(F.lit(seed + 1), "place", "copy"))
+    rows = _copies(sized, most).withColumn("at", F.xxhash64(F.lit(seed + 1), "place", "copy"))
     placed = _with_plan(rows, plan, len(per)).withColumn("block", F.pmod("at", F.col("blocks")))
     block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("times").alias("times"), F.first("blocks").alias("blocks"))
     order = F.xxhash64(F.lit(seed + 2), "source_no", "block")
@@ -199,16 +237,40 @@ def mix(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataF
     whole = out.where("not (room > 0 and room < words)").withColumn("got", F.col("room") > 0)
     every = whole.unionByName(inside).withColumn("shards", F.when(F.col("got") | (F.col("room") <= 0), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("times"))))
     orders = F.transform("shards", lambda _, k: F.xxhash64(F.lit(seed + 3), "at", k))
-    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", orders.alias("orders"), "place")
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", orders.alias("orders"), "place", "also", "copy", "m")
+
+
+def _numbered(kinds: DataFrame) -> DataFrame:
+    """kinds with first: rows before them among those of one place, in the order of their hashes. These are counted by parts
+    of the hashes first, so that no task sorts all."""
+    kinds = kinds.select("place", "also", "one", "two", "m", F.shiftrightunsigned("one", 52).alias("of"))
+    earlier = Window.partitionBy("place", "also").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    base = kinds.groupBy("place", "also", "of").agg(F.sum("m").alias("n")).select("place", "also", "of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("place", "also", "of").orderBy("one", "two").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("base") + F.coalesce(F.sum("m").over(within), F.lit(0))
+    return kinds.join(base.hint("merge"), ["place", "also", "of"]).withColumn("first", first).drop("of", "base")
 
 
 def mixed(docs: DataFrame, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix itself: row (a struct of all columns of docs) once for each time taken, shard and at (the sort key
-    of the shuffle within a shard). Of rows alike in doc_id, source and text the one of the smallest
-    hash stands for all."""
-    turns = mix(docs, seed, shard_words).select("place", F.inline(F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("at"))))
-    rows = docs.select(F.struct("*").alias("row"), _key(seed).alias("place")).groupBy("place").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return rows.join(turns.hint("merge"), "place").select("row", "shard", "at")
+    of the shuffle within a shard). Texts are shuffled once, by the hashes of their rows; of rows alike in every column one
+    is sent, and given out as often as they are taken."""
+    whole = docs.select(F.struct("*").alias("row"))
+    whole = whole.select("row", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")]).select("*", *_keys(seed), *_row_keys(docs.schema, seed))
+    kinds = _sized(whole.drop("row"), "one", "two")
+    sized = keep(kinds.groupBy("doc_id", "source", "size", "place", "also").agg(F.sum("m").alias("m")), "sizes")
+    turns = _mix(sized, _most(sized), seed, shard_words).select("place", "also", "copy", F.inline(F.arrays_zip(F.col("shards").alias("shard"), F.col("orders").alias("at"))))
+    most = _most(kinds)
+    own = _copies(_numbered(kinds), most).select("place", "also", (F.col("first") + F.col("copy")).alias("copy"), "one", "two", "m", F.floor(F.col("copy") / COPIES).alias("part"))
+    turns = turns.join(own.hint("merge"), ["place", "also", "copy"]).select("one", "two", "m", "part", "shard", "at")
+    rows = whole.groupBy("one", "two").agg(F.first("row").alias("row"), F.count("*").alias("m"))
+    if most <= COPIES:
+        return rows.drop("m").join(turns.hint("merge"), ["one", "two"]).select("row", "shard", "at")
+    turns = keep(turns, "turns")
+    few = rows.where(F.col("m") <= COPIES).drop("m").join(turns.where(F.col("m") <= COPIES).hint("merge"), ["one", "two"])
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / COPIES)))
+    many = rows.where(F.col("m") > COPIES).withColumn("part", parts).drop("m").join(turns.where(F.col("m") > COPIES).hint("merge"), ["one", "two", "part"])
+    return few.select("row", "shard", "at").unionByName(many.select("row", "shard", "at"))
 
 
 def shuffled(mixed_rows: DataFrame) -> DataFrame:

@@ -313,7 +313,9 @@ def test_components(spark):
 
 def test_packing(spark, docs, empty):
     pieces = packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"), 1, 512)
-    rows = packing.pack_pieces(pieces, 512).collect()
+    packed = packing.pack_pieces(pieces, 512)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()  # pieces and ids stay where they are
+    rows = packed.collect()
     t = tokens.Encoder(tokenizer("word_bpe_49k.json")).tokenizer
     want = Counter()
     for r in docs.collect():
@@ -413,11 +415,26 @@ def test_mixing_many_shards_sources_and_copies(spark, monkeypatch):
     assert 0 < sum(r.taken for r in some) and len({o for r in some for o in r.orders}) == sum(len(r.shards) for r in some)
     whole = mixing.mixed(docs, shard_words=500)
     assert whole.count() == sum(len(r.shards) for r in out) and whole.where("row.doc_id = 5000").count() == sum(len(r.shards) for r in some)
+    key = lambda rs: sorted((r.doc_id, r.size, r.taken, *r.shards) for r in rs)
+    monkeypatch.setattr(mixing, "COPIES", 64)  # copies numbered and given out by several tasks
+    assert key(mixing.mix(docs, shard_words=500).collect()) == key(out)
+    assert Counter((r.row.doc_id, r.shard, r.at) for r in mixing.mixed(docs, shard_words=500).collect()) == Counter((r.row.doc_id, r.shard, r.at) for r in whole.collect())
     monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
     with pytest.raises(ValueError):
         mixing.mix(docs)
 
 
+def test_mixing_keeps_rows_that_differ_elsewhere(spark, monkeypatch):
+    schema = "doc_id long, text string, source string, row string, place string, m map<string,int>, l array<int>"
+    odd = [(1, "some words", "s", a, b, {"k": i}, [i, None]) for i in range(9) for a, b in (("x", None), (None, "x"), ("y", "y"))] + [(2, "others too", "s", "x", None, None, None)] * 40
+    docs = spark.createDataFrame(odd, schema).repartition(5)
+    for copies in (1 << 16, 8):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        got = Counter(repr(r.row) for r in mixing.mixed(docs).collect())
+        assert set(got) == {repr(r) for r in docs.collect()} and sum(got.values()) == 1.5 * 67 // 1  # each row once or twice
+        assert all(1 <= n <= 2 for r, n in got.items() if "doc_id=1" in r)
+
+
 def test_targets_and_tree():
     assert mixing.targets([10, 10, 10]) == pytest.approx([20, 25 / 3, 50 / 3])
     assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
