@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: HTTP statuses worth another try.
 RETRY = {408, 409, 425, 429, 500, 502, 503, 504}
@@ -148,7 +148,10 @@ def downloaded(urls: DataFrame, folder: str, tasks: int = 8, opener: Callable =
 
 class PagedJson(DataSource):
     """format("paged_json"): pages of a REST list. Options: url with {page} and {offset}, rows, pages, first, items (path of
-    the list in a response, dots between). Each page is a partition; an empty one gives no rows. A row is page, seq, payload."""
+    the list in a response, dots between). Each page is a partition; an empty one gives no rows. A row is page, seq, payload.
+
+    As a stream it reads a list whose length nobody tells, up to its first empty page, and goes on from there when the list
+    has grown: see _PagedStream. It takes no pages and no first."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,6 +163,9 @@ class PagedJson(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _PagedReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _PagedStream(self.options)
+
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -176,6 +182,42 @@ class _PagedReader(DataSourceReader):
             yield page, i, json.dumps(item, sort_keys=True)
 
 
+class _PagedStream(DataSourceStreamReader):
+    """An offset counts the rows of a list that only grows at its end: full pages, and what the last one holds so far, so a
+    page that fills up later is read on from its middle. The driver looks for the last page that is not empty by doubling
+    and halving steps; tasks read the pages, one each."""
+
+    def __init__(self, options: dict):
+        self.options, self.rows, self.last = dict(options), int(options.get("rows", 100)), 0
+
+    def _page(self, page: int) -> list[dict]:
+        return _items(fetched(self.options["url"].format(page=page, offset=page * self.rows)), self.options.get("items", ""))
+
+    def initialOffset(self) -> dict:
+        return {"rows": 0}
+
+    def latestOffset(self) -> dict:
+        found = self._page(self.last)
+        if not found:
+            return {"rows": self.last * self.rows}
+        step = 1
+        while more := self._page(self.last + step):
+            found, self.last, step = more, self.last + step, 2 * step
+        while step := step // 2:  # the last page is fewer than 2 * step pages on
+            if more := self._page(self.last + step):
+                found, self.last = more, self.last + step
+        return {"rows": self.last * self.rows + min(len(found), self.rows)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        lo, hi = start["rows"], end["rows"]
+        return [InputPartition((p, max(lo - p * self.rows, 0), min(hi - p * self.rows, self.rows))) for p in range(lo // self.rows, -(-hi // self.rows))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        page, lo, hi = partition.value
+        for i, item in enumerate(self._page(page)[lo:hi], lo):
+            yield page, i, json.dumps(item, sort_keys=True)
+
+
 def binary_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Files parsed one by one into rows, with path, sha256, and an error instead of rows where parsing fails. The parser
     of a format (PDF pages, DICOM headers, OCR) is given from outside: none is part of this library."""
