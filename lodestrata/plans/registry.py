@@ -6,7 +6,7 @@ from importlib import import_module
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["documents", "relational", "analytics", "graphs", "workflow", "projects", "reviews", "models", "learners", "pages"]
+_MODULES = ["documents", "relational", "analytics", "graphs", "workflow", "projects", "reviews", "models", "learners", "pages", "languages"]
 
 
 def query(name: str, sql: str | None = None):
