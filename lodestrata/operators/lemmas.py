@@ -81,12 +81,14 @@ def lemmatized(docs: DataFrame, key: str, counts: DataFrame, lemmas: DataFrame)
 
     Words that are over a thousandth of all, so under a thousand, meet their lemmas by broadcast where they stand; the
     others are joined by word, and none of them is a large share. Only the words of one text come together again."""
-    rows = docs.select(key, "lang", F.posexplode("words").alias("_pos", "word"))
-    often = counts.where(F.col("n") * OFTEN > counts.agg(F.sum("n").alias("n")).scalar()).select("lang", "word")
+    rows = docs.select(key, "lang", F.posexplode_outer("words").alias("_pos", "word"))
+    often = counts.where(F.col("n") * OFTEN > docs.agg(F.sum(F.size("words")).alias("n")).scalar()).select("lang", "word")
     often = often.join(lemmas, ["lang", "word"], "left").select(F.col("lang").alias("_l"), F.col("word").alias("_w"), F.coalesce("lemma", "word").alias("_to"))
     met = rows.join(F.broadcast(often), F.col("lang").eqNullSafe(F.col("_l")) & (F.col("word") == F.col("_w")), "left").drop("_l", "_w")
-    plain = met.where("_to is null").join(lemmas, ["lang", "word"], "left").select(key, "lang", "_pos", F.coalesce("lemma", "word").alias("word"))
-    placed = met.where("_to is not null").select(key, "lang", "_pos", F.col("_to").alias("word")).unionByName(plain)
-    whole = placed.groupBy(key, "lang").agg(F.array_sort(F.collect_list(F.struct("_pos", "word"))).alias("_p"))
-    none = docs.where(F.size("words") < 1).select(key, "lang", "words")
-    return whole.select(key, "lang", F.transform("_p", lambda p: p["word"]).alias("words")).unionByName(none)
+    # rows that need no lemma any more are spread over keys that no word has, so that they fill no one task
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "_pos"), F.lit(4096)))
+    asked = met.withColumn("_w", F.coalesce(F.when(F.col("_to").isNull(), F.col("word")), spread))
+    told = asked.join(lemmas.select("lang", F.col("word").alias("_w"), "lemma"), ["lang", "_w"], "left")
+    one = F.when(F.col("word").isNotNull(), F.struct("_pos", F.coalesce("_to", "lemma", "word").alias("word")))
+    whole = told.groupBy(key, "lang").agg(F.array_sort(F.collect_list(one)).alias("_p"))
+    return whole.select(key, "lang", F.transform("_p", lambda p: p["word"]).alias("words"))
