@@ -339,3 +339,25 @@ def test_genetic_search_finds_the_best_of_all(spark, by):
     history, beta = subsets.genetic(df, names, "y", by, population=24)
     assert history[-1][1] == [names[i] for i in best[1]] and history[-1][2] == pytest.approx(best[0], rel=1e-9) and beta == pytest.approx(best[2], abs=1e-5)
     assert all(a[2] >= b[2] for a, b in itertools.pairwise(history))
+
+
+@pytest.mark.parametrize("local", [40, 1 << 16])
+def test_trees_of_any_number_of_leaves(spark, monkeypatch, local):
+    """The plain tree, wherever a subtree is finished; the driver is given nodes, and histograms of large leaves alone."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, (300, 3)), rng.integers(0, 3, 300)
+    df = frame(spark, ["k", "a", "b", "c", "y"], [(i, *x[i], y[i]) for i in range(300)])
+    cells, own = [], forest.totals
+    monkeypatch.setattr(forest, "totals", lambda rows, columns, measure, size: cells.append(size) or own(rows, columns, measure, size))
+    monkeypatch.setattr(forest, "LOCAL", local)
+    fit = lambda **kw: forest.fit(df, ["a", "b", "c"], "y", "k", leaves=None, splits=256, **kw)
+    m = fit(trees=1, bootstrap=False)
+    assert sum(cells) <= 300 // local * 12 * (3 * 32 * 3)  # at most a dozen levels
+    want = plain_tree(x.tolist(), y.tolist(), {k: 1.0 for k in range(3)}, 10**6)
+    for r in m.predict(df).collect():
+        assert r.probability == pytest.approx(want[int(r.k)])
+    several = fit(trees=3, tried=2, depth=5)
+    for t in [*m.trees, *several.trees]:
+        at = np.flatnonzero(t.feature >= 0)
+        assert (t.counts[at] == t.counts[t.left[at]] + t.counts[t.left[at] + 1]).all() and (t.depth[t.left[at]] == t.depth[at] + 1).all()
+    assert m.trees[0].counts[0].sum() == 300 and max(t.depth.max() for t in several.trees) == 5
