@@ -27,20 +27,22 @@ EXACT = 200
 RANGES = 64
 
 
-def risk_sets(df: DataFrame, time: str, event: str, covariates: list[str], ranges: int = RANGES) -> tuple[DataFrame, np.ndarray]:
+def risk_sets(df: DataFrame, time: str, event: str, covariates: list[str], ranges: int = RANGES, weight: str | None = None) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """A row for each time with events: time, survival (Kaplan-Meier, before the time), n0, d0, n1, d1, ... (at risk and
-    events by pattern); and the patterns."""
-    rows = df.where(F.col(event).isNotNull() & F.col(time).isNotNull()).dropna(subset=covariates).select(F.col(time).cast("double").alias("time"), F.col(event).cast("long").alias("event"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)])
+    events by pattern); the patterns; and what was persisted for both. The rows are gone over once, to be counted."""
     names = [f"x{i}" for i in range(len(covariates))]
-    found = rows.select(*names).distinct().orderBy(*names).limit(PATTERNS + 1).collect()
+    rows = df.where(F.col(event).isNotNull() & F.col(time).isNotNull()).dropna(subset=covariates).select(F.col(time).cast("double").alias("time"), F.col(event).cast("long").alias("event"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w"), *[F.col(c).cast("double").alias(n) for n, c in zip(names, covariates, strict=True)])
+    held = rows.groupBy("time", *names).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("event")).alias("event")).where("w > 0").persist()
+    found = held.select(*names).distinct().orderBy(*names).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
+        held.unpersist()
         raise ValueError(f"more than {PATTERNS} patterns of covariates")
     patterns = np.array([list(r) for r in found], dtype=np.float64).reshape(len(found), len(covariates))
     of = lambda p: F.lit(True) if not names else _all([F.col(n) == F.lit(float(v)) for n, v in zip(names, p, strict=True)])
-    counts = [a for i, p in enumerate(patterns) for a in (F.count(F.when(of(p), 1)).alias(f"c{i}"), F.sum(F.when(of(p), F.col("event")).otherwise(0)).alias(f"d{i}"))]
-    cuts = rows.agg(F.percentile_approx("time", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    counts = [F.sum(F.when(of(p), F.col(c)).otherwise(0)).alias(f"{a}{i}") for i, p in enumerate(patterns) for a, c in (("c", "w"), ("d", "event"))]
+    cuts = held.agg(F.percentile_approx("time", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
     part = sum((F.when(F.col("time") > F.lit(float(c)), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    per = rows.groupBy("time").agg(*counts).withColumn("part", part)
+    per = held.groupBy("time").agg(*counts).withColumn("part", part)
     n = len(patterns)
     later = per.groupBy("part").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)]).orderBy("part").collect()  # a row a range
     after = {r.part: [sum(q[f"c{i}"] for q in later if q.part > r.part) for i in range(n)] for r in later}
@@ -55,7 +57,7 @@ def risk_sets(df: DataFrame, time: str, event: str, covariates: list[str], range
     first = F.element_at(F.create_map(*[F.lit(v) for k, s in before.items() for v in (k, float(s))]), F.col("part")) if before else F.lit(0.0)
     up = Window.partitionBy("part").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
     out = steps.select("time", F.exp(first + F.coalesce(F.sum("_step").over(up), F.lit(0.0))).alias("survival"), *[f"{c}{i}" for i in range(n) for c in "nd"])
-    return out, patterns
+    return out, patterns, held
 
 
 def _all(conditions: list):
@@ -123,10 +125,11 @@ def _moments(at_risk: np.ndarray, events: np.ndarray, x: np.ndarray, beta: np.nd
 
 
 class Cox:
-    """Coefficients (beta), their errors (se), log-likelihoods with (loglik) and without (base) the covariates."""
+    """Coefficients (beta), their errors (se), log-likelihoods with (loglik) and without (base) the covariates. weight: a column
+    of how many rows a row stands for."""
 
-    def __init__(self, df: DataFrame, time: str, event: str, covariates: list[str], steps: int = 30, ranges: int = RANGES):
-        risk, self.patterns = risk_sets(df, time, event, covariates, ranges)
+    def __init__(self, df: DataFrame, time: str, event: str, covariates: list[str], steps: int = 30, ranges: int = RANGES, weight: str | None = None):
+        risk, self.patterns, held = risk_sets(df, time, event, covariates, ranges, weight)
         self.risk, k = risk.persist(), len(covariates)
         try:
             self.beta, info = np.zeros(k), np.zeros((k, k))
@@ -147,6 +150,7 @@ class Cox:
             self._tests = self._score_tests()
         finally:
             self.risk.unpersist()
+            held.unpersist()
 
     def _columns(self) -> list[str]:
         return ["time", "survival", *[f"{c}{i}" for i in range(len(self.patterns)) for c in "nd"]]

@@ -361,3 +361,21 @@ def test_trees_of_any_number_of_leaves(spark, monkeypatch, local):
         at = np.flatnonzero(t.feature >= 0)
         assert (t.counts[at] == t.counts[t.left[at]] + t.counts[t.left[at] + 1]).all() and (t.depth[t.left[at]] == t.depth[at] + 1).all()
     assert m.trees[0].counts[0].sum() == 300 and max(t.depth.max() for t in several.trees) == 5
+
+
+def test_rows_are_joined_once_and_counted(spark):
+    """The fit goes over its rows once: a row that stands for several is as good, and the counter of rows read shows no second time."""
+    rng = np.random.default_rng(12)
+    rows = [(int(rng.integers(1, 9)), int(rng.random() < 0.6), int(rng.integers(0, 2)), int(rng.integers(0, 3))) for _ in range(300)]
+    df = frame(spark, ["t", "e", "a", "b"], rows)
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    each = hazards.Cox(df.mapInArrow(pass_on, df.schema), "t", "e", ["a", "b"])
+    assert seen.value == 300
+    many = hazards.Cox(df.groupBy("t", "e", "a", "b").count(), "t", "e", ["a", "b"], weight="count")
+    assert many.beta == pytest.approx(each.beta, abs=1e-9) and many.loglik == pytest.approx(each.loglik) and many.schoenfeld()[-1] == pytest.approx(each.schoenfeld()[-1])
