@@ -64,7 +64,7 @@ class Tree:
         return node
 
 
-def _mixed(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
+def mixed(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Keys whose bits are mixed with those of the tree."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64) + np.uint64(seed % 2**32) * np.uint64(0xD1342543DE82EF95)
@@ -75,7 +75,7 @@ def _mixed(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 def poisson(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """A Poisson draw of mean 1 for each key."""
-    x = _mixed(keys, tree, seed)
+    x = mixed(keys, tree, seed)
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
     return np.searchsorted(steps, (x >> np.uint64(11)).astype(np.float64) / 2**53, side="right")
 
@@ -99,14 +99,14 @@ def gains(hist: np.ndarray, parent: np.ndarray, weights: np.ndarray) -> np.ndarr
 
 def _sides(paths: np.ndarray) -> np.ndarray:
     """Paths (64 bits) of the left and right children of each."""
-    return np.column_stack([_mixed(paths, side, 1) for side in (0, 1)]).ravel()
+    return np.column_stack([mixed(paths, side, 1) for side in (0, 1)]).ravel()
 
 
 def _drawn(paths: np.ndarray, tree: int, features: int, tried: int | None, seed: int) -> np.ndarray:
     """By leaf and feature, whether it may split the leaf: a draw from the leaf's path, whatever the order of splits."""
     if tried is None or tried >= features:
         return np.ones((len(paths), features), dtype=bool)
-    of = np.column_stack([_mixed(_mixed(paths, f, seed), tree, seed) for f in range(features)])
+    of = np.column_stack([mixed(mixed(paths, f, seed), tree, seed) for f in range(features)])
     return of.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") < tried
 
 

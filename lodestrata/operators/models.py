@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import stats
+from lodestrata.operators import stats, subsets
+from lodestrata.operators.forest import mixed
+from lodestrata.operators.passes import matrix, quadratic, totals
 
 
 def with_vector(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -23,6 +27,11 @@ def expanded(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns(terms), [*columns, *terms]
 
 
+def _held(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The numbers alone, persisted, of rows without a null."""
+    return df.select([F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate([*columns, *more])]).dropna().persist()
+
+
 def stepwise(df: DataFrame, columns: list[str], label: str, by: str = "aic") -> list[tuple]:
     """Forward and backward selection for a logistic model: (step, change, columns, criterion) of every step, the first
     with the intercept alone. Each step fits a model a column, over all rows, in Spark."""
@@ -52,15 +61,152 @@ def stepwise(df: DataFrame, columns: list[str], label: str, by: str = "aic") ->
         out.append((len(out), best[1], chosen, best[0]))
 
 
-def lasso(df: DataFrame, columns: list[str], label: str, fold: str, folds: int = 5, grid: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001)):
-    """A logistic LASSO whose lambda is chosen by the area below the ROC curve over folds that a column gives."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+class Lasso:
+    """The model of the lambda chosen: coefficients and intercept; area: of each lambda, the mean over folds of the area below the ROC curve."""
+
+    def __init__(self, columns: list[str], coefficients: np.ndarray, intercept: float, lam: float, area: dict[float, float]):
+        from pyspark.ml.linalg import Vectors
+
+        self.columns, self.coefficients, self.intercept, self.lam, self.area = columns, Vectors.dense(coefficients), float(intercept), lam, area
+
+    def probability(self) -> Column:
+        at = sum((F.col(f"`{c}`") * float(b) for c, b in zip(self.columns, self.coefficients.toArray(), strict=True)), F.lit(self.intercept))
+        return 1 / (1 + F.exp(-at))
+
+
+#: A score counts as its first bits (of a double), so that the area below a curve is a sum over a bounded number of scores; others are ties.
+SCORE_BITS = 20
+
+
+def lasso(df: DataFrame, columns: list[str], label: str, fold: str, folds: int = 5, grid: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001)) -> Lasso:
+    """A logistic LASSO whose lambda is chosen by the area below the ROC curve over folds that a column gives; ties to the first of the grid.
+
+    The loss is the mean over rows, the penalty lambda times the sum of coefficients on columns of deviation 1. The fits of every
+    fold and lambda go on together: a pass over the rows adds up slopes and curvatures of all, and the penalised quadratic is
+    minimised on the driver, by coordinates. Rows with a null are left out."""
+    rows = _held(df, columns, label, fold)
+    try:
+        return _lasso(rows, columns, folds, grid)
+    finally:
+        rows.unpersist()
+
+
+def _penalised(curve: np.ndarray, slope: np.ndarray, beta: np.ndarray, lam: float) -> np.ndarray:
+    """The least of slope (b - beta) + (b - beta) curve (b - beta) / 2 + lam |b|, the first (the constant) free, by coordinates."""
+    b, g, use = beta.copy(), slope.copy(), np.diag(curve) > 1e-14
+    for sweep in range(1, 10_001):
+        most = 0.0
+        for j in np.flatnonzero(use):
+            want = b[j] - g[j] / curve[j, j]
+            new = want if j == 0 else math.copysign(max(abs(want) - lam / curve[j, j], 0.0), want)
+            if new != b[j]:
+                g += curve[:, j] * (new - b[j])
+                most = max(most, abs(new - b[j]) * math.sqrt(curve[j, j]))
+                b[j] = new
+        if most < 1e-12:
+            break
+        if sweep % 25 == 0:  # the exact least, if signs are those of now
+            on = use & ((b != 0) | (np.arange(len(b)) == 0))
+            pull = np.where(np.arange(len(b)) == 0, 0.0, lam) * np.sign(b)
+            exact = np.zeros(len(b))
+            exact[on] = np.linalg.lstsq(curve[np.ix_(on, on)], (curve @ beta - slope - pull)[on], rcond=1e-14)[0]
+            rest = np.abs(slope + curve @ (exact - beta))[use & ~on]
+            if (np.sign(exact) == np.sign(b))[1:].all() and (rest <= lam * (1 + 1e-9)).all():
+                return exact
+    return b
+
+
+def _lasso(rows: DataFrame, columns: list[str], folds: int, grid: tuple[float, ...]) -> Lasso:
+    names, k = rows.columns, len(columns) + 1
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        own = np.zeros((folds + 1, 1 + 2 * (k - 1)))
+        for f in range(folds):
+            z = x[x[:, -1] == f, : k - 1] - shift
+            own[f] = np.concatenate([[len(z)], z.sum(axis=0), (z * z).sum(axis=0)])
+        z = x[:, : k - 1] - shift
+        own[folds] = np.concatenate([[len(z)], z.sum(axis=0), (z * z).sum(axis=0)])
+        return own.ravel()
+
+    first = rows.agg(F.count("*"), *[F.avg(c) for c in names[: k - 1]]).first()
+    if not first[0]:
+        raise ValueError("there are no whole rows")
+    shift = np.array(first[1:], dtype=np.float64)
+    total = totals(rows, names, moments, (folds + 1) * (1 + 2 * (k - 1))).reshape(folds + 1, -1)
+    total = np.concatenate([total[folds] - total[:folds], total[folds:]])  # of the rows that each fit learns from, all of them last
+    n = np.maximum(total[:, 0], 1)
+    mean = total[:, 1:k] / n[:, None]
+    deviation = np.sqrt(np.maximum(total[:, k:] / n[:, None] - mean**2, 0) * (n / np.maximum(n - 1, 1))[:, None])
+    scale = np.where(deviation > 1e-12, deviation, np.inf)  # a constant column keeps the coefficient 0
+
+    def fitted(problems: list[tuple[int, float]]) -> list[np.ndarray]:
+        """Coefficients (the constant first), on the columns less shift, of each fit: (the fold left out, or folds for none; lambda)."""
+        beta = [np.zeros(k) for _ in problems]
+        best, kept, going = [math.inf] * len(problems), [b.copy() for b in beta], list(range(len(problems)))
+        size = 1 + k + k * k
+        for _ in range(60):
+
+            def measure(x: np.ndarray, going: list = going, beta: list = beta) -> np.ndarray:
+                out, y = [], x[:, -2]
+                z = np.column_stack([np.ones(len(x)), x[:, : k - 1] - shift])
+                parts = {f: (z, y) if f == folds else (z[x[:, -1] != f], y[x[:, -1] != f]) for f in {problems[p][0] for p in going}}
+                for p in going:
+                    own, hit = parts[problems[p][0]]
+                    at = own @ (beta[p] / np.r_[1.0, scale[problems[p][0]]])
+                    share = 1 / (1 + np.exp(-np.clip(at, -500, 500)))
+                    out.append(np.concatenate([[(np.logaddexp(0, at) - hit * at).sum()], own.T @ (share - hit), quadratic(own, share * (1 - share))]))
+                return np.concatenate(out)
+
+            sums = totals(rows, names, measure, len(going) * size).reshape(len(going), size)
+            still = []
+            for p, own in zip(going, sums, strict=True):
+                f, lam = problems[p]
+                by = 1 / np.r_[1.0, scale[f]]
+                value = own[0] / n[f] + lam * np.abs(beta[p][1:]).sum()
+                if value > best[p] + 1e-12:  # too far: half way back
+                    beta[p] = (beta[p] + kept[p]) / 2
+                    if np.abs(beta[p] - kept[p]).max() > 1e-9:
+                        still.append(p)
+                    continue
+                best[p], kept[p] = value, beta[p]
+                move = _penalised(own[1 + k :].reshape(k, k) * np.outer(by, by) / n[f], own[1 : 1 + k] * by / n[f], beta[p], lam)
+                if np.abs(move - beta[p]).max() > 1e-9 * max(1.0, np.abs(move).max()):
+                    beta[p] = move
+                    still.append(p)
+            going = still
+            if not going:
+                break
+        return [b / np.r_[1.0, scale[f]] for b, (f, _) in zip(kept, problems, strict=True)]
+
+    problems = [(f, lam) for f in range(folds) for lam in grid]
+    weights = np.array(fitted(problems))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each fit, rows of the fold it did not see, by label and the first bits of their score."""
+        for batch in batches:
+            x = matrix(batch)
+            for f in range(folds):
+                own = x[x[:, -1] == f]
+                if not len(own):
+                    continue
+                z = np.column_stack([np.ones(len(own)), own[:, : k - 1] - shift])
+                for i, p in enumerate(range(f * len(grid), (f + 1) * len(grid))):
+                    bits = (z @ weights[p] + 0.0).view(np.int64) >> (64 - SCORE_BITS)
+                    bits = np.where(bits < 0, -bits - (1 << (SCORE_BITS - 1)), bits)  # in the order of the scores
+                    bits, where = np.unique(bits, return_inverse=True)
+                    hits = np.bincount(where, own[:, -2], len(bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), v), t) for v, t in ((f, pa.int32()), (i, pa.int32()))] + [pa.array(bits), pa.array(hits), pa.array(np.bincount(where, minlength=len(bits)) - hits)], names=["fold", "place", "score", "hits", "misses"])
 
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, elasticNetParam=1.0, maxIter=50)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(grid)).build(), evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, foldCol=fold)
-    return cv.fit(with_vector(df, columns, "_x")).bestModel
+    if len(grid) > 1:
+        by = rows.mapInArrow(scored, "fold int, place int, score long, hits double, misses double").groupBy("fold", "place", "score").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+        below = F.coalesce(F.sum("misses").over(Window.partitionBy("fold", "place").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # at most 2^SCORE_BITS rows
+        areas = by.withColumn("won", F.col("hits") * (below + F.col("misses") / 2)).groupBy("fold", "place").agg((F.try_divide(F.sum("won"), F.sum("hits") * F.sum("misses"))).alias("area"))
+        area = {grid[r.place]: r.area for r in areas.groupBy("place").agg(F.avg("area").alias("area")).collect()}
+    else:
+        area = {}
+    lam = max(grid, key=lambda g: area.get(g) or -1.0)
+    own = fitted([(folds, lam)])[0]
+    return Lasso(columns, own[1:], own[0] - own[1:] @ shift, lam, area)
 
 
 def kmeans_table(df: DataFrame, columns: list[str], ks=range(1, 11), starts: int = 10, seed: int = 42) -> list[tuple]:

@@ -65,14 +65,12 @@ def stepwise(t):
 @query("ml11_ml14_lasso")
 def lasso(t):
     """Main effects, all products and squares; lambda by five folds of a hash."""
-    from pyspark.ml.functions import vector_to_array
-
     d, terms = M.expanded(_orders(t), ["price", "bal", "noise"])
     d = d.withColumn("fold", F.pmod(F.xxhash64("o_orderkey"), F.lit(5)).cast("int"))
     d = d.withColumnsRenamed({c: c.replace(":", "_") for c in terms})
     terms = [c.replace(":", "_") for c in terms]
     m = M.lasso(d, terms, "label", "fold")
-    return m.transform(M.with_vector(d, terms, "_x")).select("o_orderkey", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("p"), F.lit(m.getRegParam()).alias("lambda"))
+    return d.select("o_orderkey", F.round(m.probability(), 6).alias("p"), F.lit(m.lam).alias("lambda"))
 
 
 @query("ml18_kmeans_table")
