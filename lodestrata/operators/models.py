@@ -34,31 +34,40 @@ def _held(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
 
 def stepwise(df: DataFrame, columns: list[str], label: str, by: str = "aic") -> list[tuple]:
     """Forward and backward selection for a logistic model: (step, change, columns, criterion) of every step, the first
-    with the intercept alone. Each step fits a model a column, over all rows, in Spark."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    n = df.count()
-
-    def criterion(own: list[str]) -> float:
-        if not own:
-            p = df.agg(F.avg(label)).first()[0]
-            deviance = -2 * n * (p * math.log(p) + (1 - p) * math.log(1 - p)) if 0 < p < 1 else 0.0
-        else:
-            m = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(with_vector(df, own, "_x"))
-            deviance = m.summary.deviance
-        k = len(own) + 1
-        return deviance + (2 if by == "aic" else math.log(max(n, 1))) * k
-
-    chosen: list[str] = []
-    out = [(0, "", [], criterion([]))]
-    while True:
-        tries = [(criterion([*chosen, c]), f"+{c}", [*chosen, c]) for c in columns if c not in chosen]
-        tries += [(criterion([x for x in chosen if x != c]), f"-{c}", [x for x in chosen if x != c]) for c in chosen]
-        best = min(tries, default=(math.inf, "", []))
-        if best[0] >= out[-1][3] - 1e-9:
-            return out
-        chosen = best[2]
-        out.append((len(out), best[1], chosen, best[0]))
+    with the intercept alone. All models of a step are fitted together: a Newton step of all of them is one pass over the rows."""
+    return stepwise_by(df, columns, label, [by])[by]
+
+
+def stepwise_by(df: DataFrame, columns: list[str], label: str, criteria: list[str]) -> dict[str, list[tuple]]:
+    """stepwise() for each criterion; a set of columns is fitted once for all of them."""
+    rows = _held(df, columns, label)
+    try:
+        n, names = rows.count(), rows.columns
+        losses: dict[frozenset, float] = {}
+        at = {c: i for i, c in enumerate(columns)}
+
+        def walk(by: str) -> list[tuple]:
+            def fitted(sets: list[list[str]]) -> list[float]:
+                new = sorted({tuple(sorted(at[c] for c in s)) for s in sets} - set(losses))
+                if new:
+                    losses.update({s: loss for s, (loss, _) in subsets.criteria(rows, names[:-1], names[-1], new, n, "loss").items()})
+                each = 2.0 if by == "aic" else math.log(max(n, 1))
+                return [2 * losses[tuple(sorted(at[c] for c in s))] + each * (len(s) + 1) for s in sets]
+
+            chosen: list[str] = []
+            out = [(0, "", [], fitted([[]])[0])]
+            while True:
+                tries = [(f"+{c}", [*chosen, c]) for c in columns if c not in chosen] + [(f"-{c}", [x for x in chosen if x != c]) for c in chosen]
+                found = [(v, *t) for v, t in zip(fitted([own for _, own in tries]), tries, strict=True)]
+                best = min(found, default=(math.inf, "", []))
+                if best[0] >= out[-1][3] - 1e-9:
+                    return out
+                chosen = best[2]
+                out.append((len(out), best[1], chosen, best[0]))
+
+        return {by: walk(by) for by in criteria}
+    finally:
+        rows.unpersist()
 
 
 class Lasso:

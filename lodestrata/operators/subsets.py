@@ -52,6 +52,8 @@ def criteria(df: DataFrame, columns: list[str], label: str, subsets: list[tuple[
         going = still
         if not going:
             break
+    if by == "loss":  # negative log-likelihood alone
+        return best
     each = 2.0 if by == "aic" else math.log(max(n, 1))
     return {s: (2 * loss + each * (len(s) + 1), beta) for s, (loss, beta) in best.items()}
 

@@ -58,7 +58,7 @@ def _orders(t):
 
 @query("ml12_stepwise")
 def stepwise(t):
-    rows = [(by, i, change, ",".join(own), float(value)) for by in ("aic", "bic") for i, change, own, value in M.stepwise(_orders(t).cache(), ["price", "bal", "noise"], "label", by)]
+    rows = [(by, i, change, ",".join(own), float(value)) for by, steps in M.stepwise_by(_orders(t), ["price", "bal", "noise"], "label", ["aic", "bic"]).items() for i, change, own, value in steps]
     return t("nation").sparkSession.createDataFrame(rows, "criterion string, step int, change string, columns string, value double")
 
 

@@ -199,3 +199,25 @@ def test_late_rows_and_first_seen(spark, tmp_path):
     got = {(r.start.hour, r.n) for r in spark.table("late").collect()}
     assert got == {(1, 2), (8, 1), (9, 1)}  # the row of 1:30 came after the watermark of 8:00
     assert sorted(r.user_id for r in spark.table("seen").collect()) == [1, 2, 3, 4]
+
+
+def test_models_of_a_step_share_passes(spark, monkeypatch):
+    """Stepwise and LASSO take as many passes for all models as for one, and reach the least: by conditions of NumPy."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 3)) * [1, 5, 1] + [0, 3, 0]
+    y = (x[:, 0] - 0.3 * x[:, 1] + rng.standard_normal(600) > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, a), float(b), i % 5) for i, (a, b) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, y double, fold int")
+    passes, own = [], M.totals
+    monkeypatch.setattr(M, "totals", lambda *a: passes.append(1) or own(*a))
+    monkeypatch.setattr(M.subsets, "totals", lambda *a: passes.append(1) or own(*a))
+    steps = M.stepwise_by(df, ["a", "b", "c"], "y", ["aic", "bic"])
+    assert len(passes) < 50 and steps["aic"][-1][2][:2] == steps["bic"][-1][2][:2] and set(steps["bic"][-1][2]) == {"a", "b"}
+    passes.clear()
+    m = M.lasso(df, ["a", "b", "c"], "y", "fold", grid=(0.1, 0.02))
+    assert len(passes) < 40 and 0.8 < max(m.area.values()) <= 1
+    beta = m.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ beta + m.intercept)))
+    slope = x.T @ (p - y) / 600 / x.std(axis=0, ddof=1)
+    assert (p - y).sum() == pytest.approx(0, abs=1e-5)
+    assert all(g == pytest.approx(-m.lam * np.sign(b), abs=1e-7) if b else abs(g) <= m.lam for b, g in zip(beta, slope, strict=True))
+    assert [r.p for r in df.select(m.probability().alias("p")).collect()] == pytest.approx(p.tolist())
