@@ -219,18 +219,91 @@ def _lasso(rows: DataFrame, columns: list[str], folds: int, grid: tuple[float, .
 
 
 def kmeans_table(df: DataFrame, columns: list[str], ks=range(1, 11), starts: int = 10, seed: int = 42) -> list[tuple]:
-    """k, sse, r2, semi-partial r2 and BIC: the best of so many starts for each k."""
-    from pyspark.ml.clustering import KMeans
-
-    data = with_vector(df, columns).cache()
-    n = data.count()
-    first = data.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
-    sse = [(1, float(n * sum(first)))]
-    for k in ks:
-        if k > 1:
-            sse.append((k, min(float(KMeans(k=k, seed=seed + i, maxIter=20).fit(data).summary.trainingCost) for i in range(starts))))
-    data.unpersist()
-    return stats.cluster_fit(sse, n, len(columns))
+    """k, sse, r2, semi-partial r2 and BIC: the best of so many starts for each k. Equal rows are one that weighs as many.
+
+    All starts of all k go on together, so a round is one pass over the rows. Starts are chosen by k-means++: each row draws from a
+    hash of its numbers, and the least of -log(u) / (weight x squared distance to the centers so far) becomes the next center."""
+    rows = df.select([F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
+    names = rows.columns
+    data = rows.groupBy(*names).agg(F.count("*").cast("double").alias("_n")).withColumn("_key", F.shiftrightunsigned(F.xxhash64(*names), 11)).persist()
+    try:
+        first = data.agg(F.sum("_n"), *[F.sum(F.col(c) * F.col("_n")) for c in names]).first()
+        n, d = int(first[0] or 0), len(columns)
+        mean = np.array([v / n if n else 0.0 for v in first[1:]])
+        spread = totals(data, [*names, "_n"], lambda x: np.array([(((x[:, :-1] - mean) ** 2).sum(axis=1) * x[:, -1]).sum()]), 1)[0] if n else 0.0
+        fits = [(k, i) for k in ks if k > 1 for i in range(starts * DRAWS)]
+        sse = [(1, float(spread))]
+        if n and fits:
+            cost = _lloyd(data, names, _starts(data, names, fits, seed), d)
+            for k in dict.fromkeys(k for k, _ in fits):
+                sse.append((k, min(c for (q, _), c in zip(fits, cost, strict=True) if q == k)))
+        return stats.cluster_fit(sse, n, d)
+    finally:
+        data.unpersist()
+
+
+#: A start is the best of so many draws of k-means++.
+DRAWS = 4
+
+
+def _distance(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+
+
+def _starts(data: DataFrame, names: list[str], fits: list[tuple[int, int]], seed: int) -> list[np.ndarray]:
+    """k-means++ for (k, start) each; one pass a center. Fewer centers where there are fewer different rows."""
+    centers: list[np.ndarray] = [np.zeros((0, len(names))) for _ in fits]
+    for step in range(max(k for k, _ in fits)):
+        open_ = [p for p, (k, _) in enumerate(fits) if k > step and len(centers[p]) == step]
+
+        def drawn(batches: Iterator[pa.RecordBatch], step: int = step, open_: list = open_) -> Iterator[pa.RecordBatch]:
+            least: dict[int, tuple[float, list[float]]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = matrix(batch)
+                for p in open_:
+                    u = (mixed(x[:, -1], 1000 * fits[p][0] + 100_000 * fits[p][1] + step, seed) >> np.uint64(11)).astype(np.float64) / 2**53
+                    far = _distance(x[:, :-2], centers[p]).min(axis=1) if step else np.ones(len(x))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        race = np.where(far > 0, -np.log(u + 2.0**-54) / (x[:, -2] * far), np.inf)
+                    i = int(race.argmin())
+                    if race[i] < least.get(p, (np.inf, []))[0]:
+                        least[p] = (float(race[i]), x[i, :-2].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array([v for v, _ in least.values()], pa.float64()), pa.array([c for _, c in least.values()], pa.list_(pa.float64()))], names=["fit", "race", "center"])
+
+        for r in data.select(*names, "_n", F.col("_key").cast("double")).mapInArrow(drawn, "fit int, race double, center array<double>").groupBy("fit").agg(F.min(F.struct("race", "center")).alias("m")).collect():
+            centers[r.fit] = np.vstack([centers[r.fit], r.m.center])
+    return centers
+
+
+def _lloyd(data: DataFrame, names: list[str], centers: list[np.ndarray], d: int, rounds: int = 20, moved: float = 1e-4) -> list[float]:
+    """The cost of each fit after Lloyd's rounds, which end where no center moves further than `moved`."""
+    cost, going = [0.0] * len(centers), list(range(len(centers)))
+    for step in range(rounds + 1):
+        sizes = [len(centers[p]) * (1 + d) + 1 for p in going]
+
+        def measure(x: np.ndarray, going: list = going, centers: list = list(centers)) -> np.ndarray:
+            out, w = [], x[:, -1]
+            for p in going:
+                far = _distance(x[:, :-1], centers[p])
+                own, k = far.argmin(axis=1), len(centers[p])
+                sums = [np.bincount(own, w * v, k) for v in (np.ones(len(x)), *x[:, :-1].T)]
+                out.append(np.concatenate([[(far[np.arange(len(x)), own] * w).sum()], *sums]))
+            return np.concatenate(out)
+
+        parts = np.split(totals(data, [*names, "_n"], measure, sum(sizes)), np.cumsum(sizes)[:-1])
+        still = []
+        for p, own in zip(going, parts, strict=True):
+            cost[p], sums = float(own[0]), own[1:].reshape(1 + d, -1)
+            new = np.where(sums[0] > 0, sums[1:] / np.maximum(sums[0], 1e-300), centers[p].T).T
+            if ((new - centers[p]) ** 2).sum(axis=1).max(initial=0) > moved**2:
+                still.append(p)
+            centers[p] = new
+        going = still
+        if not going or step == rounds:
+            return cost
+    return cost
 
 
 class Cox:

@@ -221,3 +221,15 @@ def test_models_of_a_step_share_passes(spark, monkeypatch):
     assert (p - y).sum() == pytest.approx(0, abs=1e-5)
     assert all(g == pytest.approx(-m.lam * np.sign(b), abs=1e-7) if b else abs(g) <= m.lam for b, g in zip(beta, slope, strict=True))
     assert [r.p for r in df.select(m.probability().alias("p")).collect()] == pytest.approx(p.tolist())
+
+
+def test_all_starts_share_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.1, (100, 2)) for c in ((0, 0), (5, 5), (0, 9), (9, 0))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] * 2, "a double, b double")
+    passes, own = [], M.totals
+    monkeypatch.setattr(M, "totals", lambda *a: passes.append(1) or own(*a))
+    table = M.kmeans_table(df, ["a", "b"], range(1, 7), 4)
+    want = 2 * sum(((p - p.mean(0)) ** 2).sum() for p in np.split(x, 4))
+    assert len(passes) < 25 and table[3][1] == pytest.approx(want) and [r[1] for r in table] == sorted((r[1] for r in table), reverse=True)
+    assert M.kmeans_table(df.limit(3), ["a", "b"], range(1, 6), 1)[-1][1] == pytest.approx(0, abs=1e-9)
