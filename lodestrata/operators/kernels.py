@@ -77,7 +77,8 @@ def _searched(rows: DataFrame, columns: list[str], gammas: tuple[float, ...], cs
     mean, deviation = np.array(first[0::2], dtype=np.float64), np.array(first[1::2], dtype=np.float64)
     deviation[deviation < 1e-12] = 1.0
     kernels = [Kernel(len(columns)), *[Kernel(len(columns), g, width, seed) for g in gammas]]
-    problems = [(k, c, y) for k in range(len(kernels)) for c in cs for y in classes]
+    own = classes if len(classes) > 2 else classes[:1]  # of two classes the second's machine is the first's, turned round
+    problems = [(k, c, y) for k in range(len(kernels)) for c in cs for y in own]
     weights = [np.zeros(kernels[k].size) for k, _, _ in problems]
     sizes = [1 + (s := kernels[k].size) + s * (s + 1) // 2 for k, _, _ in problems]
     best = [(np.inf, w) for w in weights]
@@ -87,7 +88,8 @@ def _searched(rows: DataFrame, columns: list[str], gammas: tuple[float, ...], cs
         now = list(weights)
 
         def measure(x: np.ndarray, now: list = now, going: frozenset = frozenset(open_)) -> np.ndarray:
-            z = [kernel((x[:, :-2] - mean) / deviation) for kernel in kernels]
+            some = {problems[p][0] for p in going}
+            z = [kernel((x[:, :-2] - mean) / deviation) if k in some else None for k, kernel in enumerate(kernels)]
             out = []
             for p, (k, _, y) in enumerate(problems):
                 if p not in going:
@@ -125,14 +127,15 @@ def _searched(rows: DataFrame, columns: list[str], gammas: tuple[float, ...], cs
                 weights[p] = w - move
         if not open_:
             break
-    found = np.array([*(w for _, w in best)], dtype=object)
+    of = len(classes)
+    found = [x for _, w in best for x in ((w,) if of > 2 else (w, -w))]
     pairs = [(k, c) for k in range(len(kernels)) for c in cs]
 
     def right(x: np.ndarray) -> np.ndarray:
         z = [kernel((x[:, :-2] - mean) / deviation) for kernel in kernels]
         y, out = np.searchsorted(classes, x[:, -2]), [len(x)]
         for i, (k, _) in enumerate(pairs):
-            w = np.array([*found[i * len(classes) : (i + 1) * len(classes)]], dtype=np.float64)
+            w = np.array(found[i * of : (i + 1) * of], dtype=np.float64)
             known = np.isin(x[:, -2], classes)
             out.append(((z[k] @ w.T).argmax(axis=1) == y)[known].sum())
         return np.array(out, dtype=np.float64)
@@ -141,5 +144,5 @@ def _searched(rows: DataFrame, columns: list[str], gammas: tuple[float, ...], cs
     accuracy = hits[1:] / max(hits[0], 1)
     i = int(accuracy.argmax())
     k, c = pairs[i]
-    own = np.array([*found[i * len(classes) : (i + 1) * len(classes)]], dtype=np.float64)
+    own = np.array(found[i * of : (i + 1) * of], dtype=np.float64)
     return Machine(columns, mean, deviation, classes, kernels[k], c, own, [(kernels[k].name, c, float(a)) for (k, c), a in zip(pairs, accuracy, strict=True)])

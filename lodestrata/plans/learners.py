@@ -16,15 +16,17 @@ MEASURES = ["log_chars", "word_length", "digits", "letters", "signs", "capitals"
 
 
 def measured(docs, *carry: str):
-    """The columns carried, and MEASURES of each text; a null text counts as empty."""
+    """The columns carried, and MEASURES of each text; a null text counts as empty. Persisted: texts are measured once, and no
+    filter on a measure is moved before it, where each mention would measure the text again."""
     d = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_t")).withColumn("_w", F.split("_t", r"\s+"))
     words, chars = F.size("_w"), F.greatest(F.length("_t"), F.lit(1))
+    parts = lambda c: F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(c), F.lit(""))) + 1
     of = {
         "log_chars": F.log1p(F.length("_t")), "word_length": F.length("_t") / words, "digits": X.digit_ratio(F.col("_t")), "letters": X.alpha_ratio(F.col("_t")), "signs": X.non_alnum_ratio(F.col("_t")),
-        "capitals": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}", ""))) / chars, "distinct": F.size(F.array_distinct("_w")) / words, "line_length": F.log1p(F.length("_t") / F.size(F.split("_t", "\n"))),
-        "bars": F.size(F.split("_t", r"\|")) / words, "stops": F.size(F.split("_t", r"[.]")) / words, "shouts": F.size(F.split("_t", "!")) / words, "last_word": F.log1p(F.length(F.element_at("_w", -1))),
+        "capitals": (F.length("_t") - F.length(F.regexp_replace("_t", r"\p{Lu}", ""))) / chars, "distinct": F.size(F.array_distinct("_w")) / words, "line_length": F.log1p(F.length("_t") / parts("\n")),
+        "bars": parts("|") / words, "stops": parts(".") / words, "shouts": parts("!") / words, "last_word": F.log1p(F.length(F.element_at("_w", -1))),
     }
-    return d.select(*carry, *[F.coalesce(F.nanvl(of[c].cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in MEASURES])
+    return d.select(*carry, *[F.coalesce(F.nanvl(of[c].cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in MEASURES]).persist()
 
 
 def labelled(t, label: str):
@@ -101,7 +103,9 @@ def cox(t):
 @query("ml19_factors_ml")
 def factors(t):
     """Three to six factors of the measures: their criteria, and loadings turned by promax."""
-    r, n = factoring.correlations(measured(t("documents")), MEASURES)
+    m = measured(t("documents"))
+    r, n = factoring.correlations(m, MEASURES)
+    m.unpersist()
     rows = []
     for k in range(3, 7):
         f = factoring.Factors(r, n, k)

@@ -379,3 +379,19 @@ def test_rows_are_joined_once_and_counted(spark):
     assert seen.value == 300
     many = hazards.Cox(df.groupBy("t", "e", "a", "b").count(), "t", "e", ["a", "b"], weight="count")
     assert many.beta == pytest.approx(each.beta, abs=1e-9) and many.loglik == pytest.approx(each.loglik) and many.schoenfeld()[-1] == pytest.approx(each.schoenfeld()[-1])
+
+
+def test_texts_are_measured_once(spark):
+    """Filters on measures read what was persisted, and marks are counted as by splitting."""
+    from lodestrata.plans import learners
+
+    docs = spark.createDataFrame([(1, "a|b. c!\n\nD|"), (2, ""), (3, None), (4, "...")], "doc_id long, text string")
+    m = learners.measured(docs, "doc_id")
+    plan = m.where(" and ".join(f"not isnan({c}) and abs({c}) < 1e9" for c in learners.MEASURES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and "split" not in plan.split("InMemoryRelation")[0]
+    got = {r.doc_id: r for r in m.collect()}
+    m.unpersist()
+    for k, text in ((1, "a|b. c!\n\nD|"), (2, ""), (3, ""), (4, "...")):
+        words = 3 if k == 1 else 1
+        want = [text.count(c) + 1 for c in "|.!"]
+        assert [got[k].bars, got[k].stops, got[k].shouts] == pytest.approx([w / words for w in want]) and got[k].line_length == pytest.approx(math.log1p(len(text) / (text.count("\n") + 1)))
