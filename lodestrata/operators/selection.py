@@ -32,8 +32,9 @@ def mills(x: np.ndarray) -> np.ndarray:
     return np.where(far, -down / (1 - 1 / down**2 + 3 / down**4), np.exp(-near * near / 2) / math.sqrt(2 * math.pi) / normal_share(near))
 
 
-def _log_share(x: np.ndarray) -> np.ndarray:
-    return -x * x / 2 - 0.5 * math.log(2 * math.pi) - np.log(np.maximum(mills(x), 1e-300))
+def _log_share(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log of the share below x, whose mills(x) is m."""
+    return -x * x / 2 - 0.5 * math.log(2 * math.pi) - np.log(np.maximum(m, 1e-300))
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ class Probit:
                 z, sign = _with_one(x[:, :-1]), 2 * x[:, -1] - 1
                 at = sign * (z @ beta)
                 m = mills(at)
-                return np.concatenate([[_log_share(at).sum()], z.T @ (sign * m), quadratic(z, m * (m + at))])
+                return np.concatenate([[_log_share(at, m).sum()], z.T @ (sign * m), quadratic(z, m * (m + at))])
 
             total = totals(df, [*columns, chosen], measure, 1 + k + k * k)
             if total[0] < self.loglik - 1e-9 and np.abs(move).max() > 1e-10:  # too far: half the way
@@ -83,8 +84,9 @@ class Heckman:
         self.rows = df.where(fine).select(*[F.col(c).cast("double").alias(c) for c in names], F.col(chosen).cast("double").alias("_chosen"), F.col(outcome).cast("double").alias("_outcome")).persist()
         try:
             self._two_steps(select_columns, outcome_columns, names)
-        finally:
+        except BaseException:
             self.rows.unpersist()
+            raise
 
     def _two_steps(self, select_columns: list[str], outcome_columns: list[str], names: list[str]) -> None:
         self.names, self.outcome_columns = names, outcome_columns
@@ -132,7 +134,11 @@ class Heckman:
         try:
             return self._likelihood(steps)
         finally:
-            self.rows.unpersist()
+            self.close()
+
+    def close(self) -> None:
+        """Gives up the rows, which stay persisted from the two steps for likelihood(): they are made once for both."""
+        self.rows.unpersist()
 
     def _likelihood(self, steps: int) -> Heckman:
         kz, kx = len(self._z) + 1, len(self._x) + 1
@@ -148,8 +154,10 @@ class Heckman:
                 want = z @ g
                 u = np.where(chosen, (np.nan_to_num(x[:, -1]) - w @ b) / sigma, 0.0)
                 a = (want + rho * u) / r
-                m, none = mills(a), mills(-want)
-                loglik = np.where(chosen, -u * u / 2 - 0.5 * math.log(2 * math.pi) - at[-2] + _log_share(a), _log_share(-want))
+                side = np.where(chosen, a, -want)
+                m = none = mills(side)  # a row needs one of them
+                share = _log_share(side, m)
+                loglik = np.where(chosen, -u * u / 2 - 0.5 * math.log(2 * math.pi) - at[-2] + share, share)
                 score = np.column_stack([
                     z * np.where(chosen, m / r, -none)[:, None], w * np.where(chosen, (u - m * rho / r) / sigma, 0.0)[:, None],
                     np.where(chosen, u * u - 1 - m * rho * u / r, 0.0), np.where(chosen, m * (u * r + (want + rho * u) * rho / r), 0.0),

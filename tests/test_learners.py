@@ -395,3 +395,18 @@ def test_texts_are_measured_once(spark):
         words = 3 if k == 1 else 1
         want = [text.count(c) + 1 for c in "|.!"]
         assert [got[k].bars, got[k].stops, got[k].shouts] == pytest.approx([w / words for w in want]) and got[k].line_length == pytest.approx(math.log1p(len(text) / (text.count("\n") + 1)))
+
+
+def test_selection_makes_its_rows_once(spark):
+    rng = np.random.default_rng(14)
+    x, e = rng.normal(size=400), rng.normal(size=400)
+    df = frame(spark, ["x", "c", "y"], [(x[i], c := int(0.4 + x[i] + e[i] > 0), 1 + x[i] + e[i] if c else None) for i in range(400)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    m = selection.Heckman(df.mapInArrow(pass_on, df.schema), ["x"], ["x"], "c", "y").likelihood()
+    assert seen.value == 400 and m.loglik is not None
