@@ -48,6 +48,6 @@ def lemma_table(t):
 select doc_id, coalesce(n, 0) as n, coalesce(lemmas, md5('')) as lemmas from documents left join x using (doc_id)""")
 def lemmatized(t):
     d = _docs(t)
-    c = L.counted(d)
+    c = L.counted(d).persist()  # frequent words, dictionary and lemmas all read the counts
     out = L.lemmatized(d, "doc_id", c, L.lemma_table(c, c.where("n >= 3")))
     return out.select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("lemmas"))
